@@ -82,3 +82,19 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
 
 def text_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
+
+
+#: Ids of 8 bytes each that are sent to every executor at once; above it, both sides are dealt by id.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``ids`` (its only column); null is an id like any other.
+
+    ``ids`` is written once and counted: up to ``BROADCAST_IDS`` it is broadcast and the texts stay where they are.  Above that
+    both sides are dealt by id and the ids hashed, so that texts are shuffled but not sorted.
+    """
+    of = free_name(docs, "dropped_id")
+    gone = written(ids.toDF(of).distinct(), "dropped")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[of]), "left_anti")
