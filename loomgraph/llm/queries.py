@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .line_dedup import dedup_lines
+from .simhash import near_duplicates
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = near_duplicates(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +67,7 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op9_decontamination": op9_decontamination,
 }
