@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .line_dedup import dedup_lines
+from .quality import THRESHOLD, held_out, scored, train
 from .simhash import near_duplicates
 
 
@@ -18,6 +19,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    done = scored(docs, train(docs, table(spark, sf_dir, "labels")))
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -68,6 +75,7 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
     "op5_line_dedup": op5_line_dedup,
     "op9_decontamination": op9_decontamination,
 }
