@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from .common import table
 from .decontaminate import contamination
 from .line_dedup import dedup_lines
 from .quality import THRESHOLD, held_out, scored, train
+from .sentencepiece_wfst import encoded, model_bytes
 from .simhash import near_duplicates
 
 
@@ -19,6 +21,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = encoded(docs, model_bytes(public_tokenizers.path("piece_bpe_32k.model")), with_ids=False)
+    return done.select("doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     done = scored(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -75,6 +83,7 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_quality": op3_quality,
     "op5_line_dedup": op5_line_dedup,
     "op9_decontamination": op9_decontamination,

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, texts, written
+from .common import slices, text_bytes, texts, without, written
 from .components import connected_components
 
 DISTANCE = 3
@@ -169,3 +169,20 @@ def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     done = fps.join(named, "fp", "left")
     return done.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """``docs`` with one row of each component: the one of the smallest ``doc_id``.
+
+    Rows that share a ``doc_id`` are one document, of which the row with the smallest text stays.  Rows without an id stay.
+    """
+    near = written(near_duplicates(docs, most), "near")
+    once = without(docs, near.where("component_id <> doc_id").select("doc_id"))
+    again = written(near.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return once
+    # Ids that recur are rare; only their rows are dealt by id.
+    row = F.struct(*[once[c] for c in docs.columns])
+    recur = once.select(once["doc_id"].cast("long").alias("of"), row.alias("row"), once["text"].alias("text")).join(again, F.col("of") == F.col("doc_id"), "left_semi")
+    first = recur.groupBy("of").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return without(once, again).unionByName(first)
