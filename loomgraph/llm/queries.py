@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .quality import THRESHOLD, held_out, scored, train
 from .sentencepiece_wfst import encoded, model_bytes
 from .simhash import near_duplicates
+from .token_files import token_digests, write_token_files
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    path, manifest = write_token_files(table(spark, sf_dir, "documents"), spec)
+    return token_digests(spark, path, manifest)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality": op3_quality,
     "op5_line_dedup": op5_line_dedup,
+    "op6_token_files": op6_token_files,
     "op9_decontamination": op9_decontamination,
 }
 
