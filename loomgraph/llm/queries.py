@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .quality import THRESHOLD, held_out, scored, train
 from .sentencepiece_wfst import encoded, model_bytes
 from .simhash import near_duplicates
+from .token_counts import token_counts
 from .token_files import token_digests, write_token_files
 
 
@@ -60,6 +61,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path, manifest)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), spec).drop("text")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
+    "op7_token_counts": op7_token_counts,
     "op9_decontamination": op9_decontamination,
 }
 

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from .chunks import Chunks
 from .common import free_name, slices
+from .tables import Table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -62,41 +63,6 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
-class Table:
-    """Non-negative int64 keys to int32 values, asked for many keys at once; -1 where there is none."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(8, int(4 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
-        slot, rest = self._slot(keys), np.arange(len(keys))
-        while len(rest):
-            _, first = np.unique(slot[rest], return_index=True)
-            put = rest[first]
-            put = put[self.keys[slot[put]] < 0]
-            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
-            left = np.ones(len(keys), bool)
-            left[put] = False
-            rest = rest[left[rest]]
-            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        there = self.keys[slot]
-        out = np.where(there == keys, self.values[slot], -1)
-        rest = np.flatnonzero((there != keys) & (there >= 0))
-        while len(rest):
-            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
-            there = self.keys[slot[rest]]
-            same = there == keys[rest]
-            out[rest[same]] = self.values[slot[rest[same]]]
-            rest = rest[~same & (there >= 0)]
-        return out
-
-
 def merged(chars: list[str], score: dict[str, float]) -> tuple[list[str], tuple[str, str] | None]:
     """The symbols that merging leaves, best score first and leftmost among equals, and the last merge."""
     parts, after = list(chars), list(range(1, len(chars))) + [-1]
