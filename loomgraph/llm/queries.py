@@ -16,6 +16,7 @@ from .sentencepiece_wfst import encoded, model_bytes
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .token_files import token_digests, write_token_files
+from .warc import records_of_pages, resolved
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,32 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), spec).drop("text")
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = resolved(records_of_pages(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
+    page = lambda c: F.floor(F.col(c) / 2).cast("long")
+    return done.select(page("record_id").alias("page_id"), "url_key", page("response_id").alias("response_page_id"), "outcome", F.sha2(lines, 256).alias("headers_sha256"))
+
+
+SQL_8 = r"""
+WITH p AS (
+  SELECT page_id AS p, '"' || md5(coalesce(html, '')) || '"' AS tag, length(coalesce(html, ''))::VARCHAR AS size,
+    regexp_replace(regexp_extract(trim(url), '^[^#]*', 0), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+  FROM pages),
+q AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(rest, '^[^/?]*', 0), '^.*@', '')), '^www[.]', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS params
+  FROM p),
+r AS (SELECT *, place || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key, p * 10 AS ts, p * 10 + 5 + 10 * ((p * 7919) % 1000) AS later FROM q),
+j AS (SELECT v.p, v.url_key, v.tag, v.later, o.p AS op, o.tag AS otag, o.size AS osize FROM r v ASOF LEFT JOIN r o ON v.url_key = o.url_key AND v.later > o.ts)
+SELECT p AS page_id, url_key, op AS response_page_id,
+  CASE WHEN op IS NULL THEN 'missing' WHEN tag = otag THEN 'resolved' ELSE 'changed' END AS outcome,
+  CASE WHEN tag = otag THEN sha256('cache-control: max-age=60' || chr(10) || 'content-length: ' || osize || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || later || chr(10) || 'etag: W/' || tag) END AS headers_sha256
+FROM j
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -103,10 +130,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_decontamination": op9_decontamination,
 }
 
 SQL: dict[str, str] = {
     "op5_line_dedup": SQL_5,
+    "op8_warc_revisits": SQL_8,
     "op9_decontamination": SQL_9,
 }
