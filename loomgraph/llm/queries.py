@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import contamination
 from .line_dedup import dedup_lines
 from .quality import THRESHOLD, held_out, scored, train
+from .secrets_scan import Scanner, made_findings, secrets
 from .sentencepiece_wfst import encoded, model_bytes
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -36,6 +37,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), Scanner().fit(made_findings()))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = joined(F.filter("secrets", lambda s: s["kind"] != "model"))
+    return done.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(base, 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), count("model").alias("n_model"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -127,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality": op3_quality,
+    "op4_secrets": op4_secrets,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
