@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .image_copies import copy_classes, rasters
 from .line_dedup import dedup_lines
 from .quality import THRESHOLD, held_out, scored, train
 from .secrets_scan import Scanner, made_findings, secrets
@@ -132,6 +133,10 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_classes(rasters(table(spark, sf_dir, "embeddings"))).withColumnRenamed("image_id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_decontamination": op9_decontamination,
+    "op10_image_copies": op10_image_copies,
 }
 
 SQL: dict[str, str] = {
