@@ -80,8 +80,19 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         yield batch.slice(start)
 
 
+def row_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Of batches with a struct ``row`` of all columns: slices as above, and their texts, empty where null.  So a text is sent once."""
+    row = batch.column("row")
+    own = row.field([f.name for f in row.type].index(column)).cast(pa.large_string())
+    if own.null_count:
+        own = pc.fill_null(own, "")
+    whole = pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "own text"])
+    for part in slices(whole, "own text", most):
+        yield part, part.column("own text")
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
+    return column.cast(pa.large_binary()).to_pylist()
 
 
 #: Ids of 8 bytes each that are sent to every executor at once; above it, both sides are dealt by id.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, new_path, remove, slices, text_bytes, written
+from .common import free_name, new_path, remove, row_slices, slices, text_bytes, written
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 FANOUT = 4
@@ -123,14 +123,14 @@ class LineRuns:
 def _drop_from(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part, own_text in row_slices(batch):
                 rows, kept, n_lines, n_dropped = part.column("row"), [], [], []
                 drops = part.column("drops")
                 at = drops.offsets.to_numpy()
                 pairs = drops.values.flatten() if len(drops.values) else [pa.array([], pa.int64())] * 2
                 blob = np.stack([pairs[0].to_numpy(), pairs[1].to_numpy()], 1).astype("<i8").tobytes()
                 valid = drops.is_valid().to_pylist()
-                for i, text in enumerate(text_bytes(part.column("text"))):
+                for i, text in enumerate(text_bytes(own_text)):
                     lines = text.split(b"\n")
                     n_lines.append(len(lines))
                     if valid[i] and at[i] < at[i + 1]:
@@ -164,7 +164,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, bat
     gone = lines.join(often.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     drops = gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
     # The lists are small beside the texts: they are hashed, so the texts stream through unsorted.
-    both = body.join(drops.withColumnRenamed("doc_id", "of").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")), "left").select("row", "text", "drops")
+    both = body.join(drops.withColumnRenamed("doc_id", "of").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")), "left").select("row", "drops")
     result = T.StructType([T.StructField("row", body.schema["row"].dataType), T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     done = both.mapInArrow(_drop_from(least_chars), result)
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")

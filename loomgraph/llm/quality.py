@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices
+from .common import free_name, row_slices, slices
 from .words import bounds, hashes, joined, word_counts
 
 BUCKETS = 1 << 16
@@ -198,8 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 def _score(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                score = machine.scores(*features(part.column("text"), _nan(part.column("n_chars"))))
+            for part, text in row_slices(batch):
+                score = machine.scores(*features(text, _nan(part.column("n_chars"))))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score, pa.float64())], ["row", "score"])
 
     return run
@@ -210,7 +210,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
 
     Null texts are empty; empty texts have a score too.  ``n_chars`` may be missing or null.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), (docs["n_chars"].cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")).alias("n_chars"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), (docs["n_chars"].cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")).alias("n_chars"))
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType())])
     name = free_name(docs, "score")
     return rows.mapInArrow(_score(machine), out).select("row.*", F.col("score").alias(name))

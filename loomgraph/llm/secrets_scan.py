@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices
+from .common import free_name, row_slices
 
 #: The base patterns (fixed values), in the order of their kinds.  Key words match in either case, of ASCII letters only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -248,8 +248,8 @@ def _spans(texts: list[str], scanner: Scanner) -> list[list[tuple[int, int, int,
 def _scan(scanner: Scanner):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                found = _spans(part.column("text").to_pylist(), scanner)
+            for part, text in row_slices(batch):
+                found = _spans(text.to_pylist(), scanner)
                 flat = [x for own in found for x in own]
                 offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 values = pa.StructArray.from_arrays([pa.array([KINDS[x[1]] for x in flat], pa.string()), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.int64()), pa.array([x[3] for x in flat], pa.float64())], ["kind", "start", "end", "score"])
@@ -263,7 +263,7 @@ def secrets(docs: DataFrame, scanner: Scanner) -> DataFrame:
 
     Places are code points, the end exclusive.  Null and empty texts have none.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("secrets", T.ArrayType(span))])
     return rows.mapInArrow(_scan(scanner), out).select("row.*", F.col("secrets").alias(free_name(docs, "secrets")))

@@ -28,16 +28,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import Chunks
-from .common import free_name, slices
+from .common import free_name, row_slices
 from .tables import Table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Bytes of text at once: larger slices meet more new chunks together, and numpy works on longer arrays.
+SLICE = 3 << 20
 #: A character without a piece costs this much more than the dearest piece.
 UNKNOWN_PENALTY = 10.0
 #: Characters of a chunk above which it is searched on its own.
 LONG = 40
+#: Distinct chunks that a worker remembers.
+CHUNKS = 300_000
+#: Characters whose lattices are in memory at once, besides one long chunk's.
+AT_ONCE = 400_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -169,7 +175,7 @@ class Model:
         self.out_sizes = np.array([len(x) for x in out], np.int64)
         self.out_starts = np.cumsum(self.out_sizes) - self.out_sizes
         self.out = np.frombuffer(b"".join(out), np.uint8)
-        self.chunks = Chunks(self.encode_chunks)
+        self.chunks = Chunks(self.encode_chunks, CHUNKS)
 
     def normalised(self, text: str) -> str:
         if self.squeeze:
@@ -280,9 +286,18 @@ class Model:
         last[start : start + size + 1], length[start : start + size + 1] = tokens, sizes
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all (normalised, non-empty) chunks in one array, and how many each has."""
-        if not chunks:
+        """Ids of all (normalised, non-empty) chunks in one array, and how many each has; so many chunks at once that their lattice stays small."""
+        parts, first, total = [], 0, 0
+        for i, x in enumerate(chunks):
+            total += len(x)
+            if total >= AT_ONCE or i == len(chunks) - 1:
+                parts.append(self._encode(chunks[first : i + 1]))
+                first, total = i + 1, 0
+        if not parts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # A slot after each chunk, so that its end isn't the next one's start.
         raw = np.frombuffer(("\0".join(chunks) + "\0").encode("utf-32-le"), np.uint32)
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
@@ -364,8 +379,8 @@ def _encode(raw: bytes, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(raw)
         for batch in batches:
-            for part in slices(batch, most=SLICE):
-                ids, at = model.encode_all(part.column("text").to_pylist())
+            for part, text in row_slices(batch, most=SLICE):
+                ids, at = model.encode_all(text.to_pylist())
                 back = model.decode_all(ids, at)
                 cut = at.tolist()
                 blob = ids.astype("<u4").tobytes()
@@ -380,10 +395,6 @@ def _encode(raw: bytes, with_ids: bool):
     return run
 
 
-#: Larger slices meet more chunks at once, and numpy works on longer arrays.
-SLICE = 6 << 20
-
-
 def model_bytes(path: str) -> bytes:
     """The model file, read on the driver and sent with the tasks (some hundred KB)."""
     with open(path, "rb") as f:
@@ -397,7 +408,7 @@ def encoded(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
     U+2581, which stands for a space.  Null and empty texts have no ids and an empty ``decoded``.  New columns get a suffix if
     ``docs`` has such names.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     new = [("ids", T.ArrayType(T.IntegerType()))] * with_ids + [("n_tokens", T.LongType()), ("ids_crc32", T.LongType()), ("decoded", T.StringType())]
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(n, t) for n, t in new)])
     done = rows.mapInArrow(_encode(model, with_ids), out)

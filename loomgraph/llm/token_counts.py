@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices
+from .common import free_name, row_slices
 from .tables import Table
 from .words import joined
 
@@ -149,8 +149,8 @@ def _count(spec: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(spec)
         for batch in batches:
-            for part in slices(batch):
-                buf, offsets = joined(part.column("text"))
+            for part, text in row_slices(batch):
+                buf, offsets = joined(text)
                 start, end = word_bounds(buf, offsets)
                 sums = np.concatenate([[0], np.cumsum(automaton.counts(buf, start, end))])
                 at = np.searchsorted(start, offsets)
@@ -164,6 +164,6 @@ def token_counts(docs: DataFrame, spec: str) -> DataFrame:
 
     ``spec``: the text of a byte-level tokenizers file with word ends, of which the vocabulary is taken.  Null and empty texts: 0 and 0.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return rows.mapInArrow(_count(spec), out).select("row.*", F.col("n_words").alias(free_name(docs, "n_words")), F.col("n_tokens").alias(free_name(docs, "n_tokens")))
