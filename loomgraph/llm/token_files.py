@@ -19,6 +19,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ from pyspark.sql.window import Window
 
 from .chunks import Chunks
 from .common import new_path, slices, texts, written
+from .token_counts import byte_names
 
 MAGIC = b"LPFR0001"
 BLOCK = 1024
@@ -41,13 +43,13 @@ PERCENTILE = 90
 FILE_IDS = 4_000_000
 TASK_ROWS = 5000
 #: Distinct chunks that a worker remembers.
-CHUNKS = 700_000
+CHUNKS = 600_000
 END = 1
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
     """Bits that each number needs."""
-    return np.where(x > 0, np.floor(np.log2(np.maximum(x, 1).astype(float))).astype(np.int64) + 1, 0)
+    return np.frexp(x.astype(np.float64))[1]
 
 
 def _lanes(width: int) -> Iterator[tuple[int, int, int]]:
@@ -92,7 +94,7 @@ def encode_file(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -
     low = grid.min(1) if n_blocks else np.zeros(0, np.int64)
     delta = grid - low[:, None]
     need = _widths(delta)
-    width = np.partition(need, BLOCK * PERCENTILE // 100 - 1, axis=1)[:, BLOCK * PERCENTILE // 100 - 1] if n_blocks else low
+    width = np.partition(need, BLOCK * PERCENTILE // 100 - 1, axis=1)[:, BLOCK * PERCENTILE // 100 - 1].astype(np.int64) if n_blocks else low
     words = np.zeros(int((width * LANES).sum()), np.uint32)
     begin = np.cumsum(width * LANES) - width * LANES
     for w in np.unique(width[width > 0]):
@@ -167,11 +169,16 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k] + self.sizes[k]))
 
 
+#: Letters above ASCII that are composed already and have one lower case, as the byte-level alphabet writes their UTF-8 bytes.
+_LETTERS = {b: c for c, b in byte_names().items()}
+_BYTES = {k: "".join(_LETTERS[b] for b in chr(k).encode()) for k in range(128, 256) if chr(k).isalpha()}
+
+
 class Tokenizer:
     """Whole texts through a tokenizers file whose pieces of text never span white space, each such piece encoded once.
 
-    Words of ASCII letters, with or without one full stop or comma, go straight to the file's model, lower-cased, as its normaliser
-    and its splitting would do; all else takes the library's whole way.
+    Words of Latin-1 letters, with or without one full stop or comma, go straight to the file's model, lower-cased and in byte letters,
+    as its normaliser and its splitting would do; all else takes the library's whole way.
     """
 
     def __init__(self, spec: str):
@@ -179,24 +186,26 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_str(spec)
+        self.stops = {c: [t.id for t in self.library.model.tokenize(c)] for c in ".,"}
         self.chunks = Chunks(self._ids, CHUNKS)
 
     def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        model, out, rest = self.library.model.tokenize, [], []
+        model, out, rest, known = self.library.model.tokenize, [], [], {}
         for i, x in enumerate(chunks):
-            word, stop = (x[:-1], x[-1]) if x[-1] in ".," else (x, "")
-            if word.isascii() and word.isalpha():
-                own = [t.id for t in model(word.lower())]
-                if stop:
-                    own += [t.id for t in model(stop)]
-                out.append(own)
+            stop = x[-1]
+            word = x[:-1] if stop in self.stops else x
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                word = word.lower()
+                if (own := known.get(word)) is None:
+                    own = known[word] = [t.id for t in model(word if word.isascii() else word.translate(_BYTES))]
+                out.append(own + self.stops[stop] if stop in self.stops else own)
             else:
                 out.append(None)
                 rest.append(i)
         for i, e in zip(rest, self.library.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = e.ids
         sizes = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter((t for own in out for t in own), np.int32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(out), np.int32, int(sizes.sum())), sizes
 
     def encode_all(self, texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # Python splits at more than ASCII white space; all of it is white space for the tokenizer, too, or it is cut by hand.
