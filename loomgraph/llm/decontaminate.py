@@ -26,7 +26,7 @@ from .words import bounds, hashes, joined, word_counts
 WINDOW = 13
 #: Windows that are searched at once; a larger benchmark is searched in several passes, so what is sent to executors is bounded.
 BLOCK_WINDOWS = 100_000
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 2 << 20
 GAP = 64
 INDEX = "doc_ids array<bigint>, n_words array<int>, terms array<string>, sizes array<int>, postings binary"
 MATCHES = "array<struct<item_id:bigint,start:int,n_words:int>>"

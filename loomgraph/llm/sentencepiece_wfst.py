@@ -35,15 +35,15 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of text at once: larger slices meet more new chunks together, and numpy works on longer arrays.
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: A character without a piece costs this much more than the dearest piece.
 UNKNOWN_PENALTY = 10.0
 #: Characters of a chunk above which it is searched on its own.
 LONG = 40
 #: Distinct chunks that a worker remembers.
-CHUNKS = 300_000
+CHUNKS = 200_000
 #: Characters whose lattices are in memory at once, besides one long chunk's.
-AT_ONCE = 400_000
+AT_ONCE = 200_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:

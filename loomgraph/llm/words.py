@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
-#: An odd base: its powers have inverses modulo 2**64, so any word's hash comes from two prefix sums.
+#: An odd base, so that no power of it vanishes modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -19,13 +17,6 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (BASE, inverse))
-
-
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a string column as one lower-cased byte array, and where each begins (one offset more than texts)."""
     if column.type != pa.large_binary():
@@ -50,16 +41,17 @@ def bounds(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD)
 
 
 def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes modulo 2**64, mixed with its length.  Callers compare the bytes."""
+    """A 64-bit hash of each word (none is empty): a polynomial of its bytes modulo 2**64, mixed with its length.  Callers compare the bytes."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    size = 1 << max(16, int(len(buf)).bit_length())
-    power, inverse = _powers(size)
+    size = end - start
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=sums[1:])
-        h = (sums[end] - sums[start]) * inverse[start]
-        h = (h ^ (h >> np.uint64(32)) ^ (end - start).astype(np.uint64)) * MIX
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(size.max()) - 1, BASE, np.uint64)]))
+        value = buf[np.repeat(start, size) + place].astype(np.uint64) + np.uint64(1)
+        h = np.add.reduceat(value * power[place], first)
+        h = (h ^ (h >> np.uint64(32)) ^ size.astype(np.uint64)) * MIX
         return h ^ (h >> np.uint64(29))
 
 
