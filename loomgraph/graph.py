@@ -22,8 +22,9 @@ if TYPE_CHECKING:
 
 VERTEX_COLUMNS, EDGE_COLUMNS = ("id", "label"), ("id", "src", "dst", "label")
 VERTEX_SCHEMA, EDGE_SCHEMA = "id long, label string", "id long, src long, dst long, label string"
-#: Changes after which a frame is written and read again, so that plans don't grow with the number of calls.
-CUT_AFTER = 8
+#: Leaves of a plan above which a changed frame is written and read again: a value that a child computes reads the graph several times, so
+#: plans would grow by a factor with each change.
+CUT_LEAVES = 40
 
 #: Array type names that callers may use instead of Spark's (fixed values).
 ARRAY_TYPES = {"int8": "tinyint", "uint8": "smallint", "int16": "smallint", "uint16": "int", "int32": "int", "uint32": "bigint", "int64": "bigint", "uint64": "decimal(20,0)", "float32": "float", "float64": "double"}
@@ -44,7 +45,6 @@ class PropertyGraph:
         for df, needed in ((self.vertices, VERTEX_COLUMNS), (self.edges, EDGE_COLUMNS)):
             if missing := set(needed) - set(df.columns):
                 raise ValueError(f"columns are missing: {sorted(missing)}")
-        self._changes = {"vertices": 0, "edges": 0}
         self._next: dict[str, int] = {}
 
     # -- reading
@@ -135,8 +135,7 @@ class PropertyGraph:
     # -- changing
 
     def _bind(self, what: str, df: DataFrame) -> None:
-        self._changes[what] += 1
-        if self._changes[what] % CUT_AFTER == 0:
+        if df._jdf.queryExecution().analyzed().collectLeaves().size() > CUT_LEAVES:
             df = written(df, what)
         setattr(self, what, df)
 

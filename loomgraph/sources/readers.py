@@ -107,7 +107,7 @@ def wiki(spark: SparkSession, path: str | DataFrame, contains_up: bool = False)
     mentions = m.join(targets, "ref").join(offsets, "article").select((F.col("offset") + F.col("place") + n).alias("src"), F.col("target").alias("dst"), F.lit("mention").alias("label"))
     down, up = F.col("article"), F.col("vertex")
     contains = own.select((up if contains_up else down).alias("src"), (down if contains_up else up).alias("dst"), F.lit("contains").alias("label"))
-    edges = numbered(mentions.unionByName(contains), "id", F.col("label").desc(), F.col("src"), F.col("dst"))
+    edges = numbered(mentions.unionByName(contains), "id", (F.col("label") != "mention").cast("int"), F.col("src"), F.col("dst"))
     return PropertyGraph(spark, vertices, edges.select("id", "src", "dst", "label"))
 
 
