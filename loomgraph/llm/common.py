@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,6 +68,14 @@ def free_name(df: DataFrame, want: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system; it would else keep its peak for as long as it lives, idle or not."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows with about ``most`` bytes of text each, so that a worker's memory doesn't follow the batch."""
     sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
@@ -78,6 +87,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back()
 
 
 def row_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

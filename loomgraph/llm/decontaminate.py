@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, without, written
+from .common import give_back, slices, texts, without, written
 from .words import bounds, hashes, joined, word_counts
 
 WINDOW = 13
@@ -199,6 +199,7 @@ def _search(items: list[tuple[int | None, list[str]]], window: int, slop: int |
                     for d, k in zip(*seg.where(at), strict=True):
                         found[d].append({"item_id": item, "start": int(k), "n_words": len(w) if slop is None else 1})
                 yield pd.DataFrame({"doc_id": pd.array(seg.doc_ids, "Int64"), "n_words": seg.n_words, "matches": found})
+            give_back()
 
     return run
 

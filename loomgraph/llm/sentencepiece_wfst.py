@@ -41,7 +41,7 @@ UNKNOWN_PENALTY = 10.0
 #: Characters of a chunk above which it is searched on its own.
 LONG = 40
 #: Distinct chunks that a worker remembers.
-CHUNKS = 200_000
+CHUNKS = 150_000
 #: Characters whose lattices are in memory at once, besides one long chunk's.
 AT_ONCE = 200_000
 
