@@ -18,7 +18,7 @@ from ..storage import written
 
 #: Vectors that an index's cells are fitted to at most, and cells at most.
 SAMPLE, MOST_CELLS = 20_000, 1024
-PROBES = 4
+PROBES = 8
 
 
 def scored(vectors: DataFrame, queries: Sequence[Sequence[float]], metric: str, vec: str = "vec") -> DataFrame:
