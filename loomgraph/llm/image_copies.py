@@ -1,12 +1,11 @@
 """Copies of images, cropped or edited, by local descriptors.
 
 Corners of several scales get an orientation from their patch's intensity centroid and a 256-bit descriptor of brightness tests, the
-test points turned to that orientation.  Descriptors meet in six Hamming tables of 32 bits each: two that share a table's bits are compared in
-full.  A pair of images is a copy if enough of its matches agree on one turn, scale and shift.  Links make classes.
+test points turned to that orientation.  Descriptors meet in Hamming tables of 32 bits each: two that share a table's bits are compared in full.
+A pair of images is a copy if enough of its matches agree on one turn, scale and shift.  Links make classes.
 
-In a table entry of a few descriptors all pairs are made; in a larger one each descriptor meets three of its members only, which differ from
-entry to entry, so that a group of n copies costs in proportion to n and holds together through many entries.  The tables are
-approximate; the tests measure their recall against all pairs.
+All descriptors of a table entry are compared with one another, however many they are.  Images whose keypoints are all equal are compared
+once, by one of them.  The tables are approximate; the tests measure their recall against all pairs.
 """
 
 from __future__ import annotations
@@ -27,9 +26,10 @@ RADIUS = 12
 BINS = 32
 BITS = 256
 TABLES = 6
-#: Differing bits up to which two descriptors match, of all 256; and of the 64 that go with a table entry.
-DISTANCE, SKETCH = 40, 7
-ALL_PAIRS = 16
+#: Differing bits, of all 256, up to which two descriptors match.
+DISTANCE = 40
+#: Entries of so many descriptors are compared by shifts, larger ones in square blocks.
+ALL_PAIRS, BLOCK = 16, 512
 #: Matches that must agree, and how far off a place may be, in pixels of the match's scale.
 AGREE, OFF, TURN = 7, 3.0, 0.35
 SCALES = (1, 2, 4)
@@ -151,45 +151,62 @@ def keypoints(images: DataFrame) -> DataFrame:
     return own.mapInArrow(_keypoints, KEYPOINTS)
 
 
-def _mixed(x: np.ndarray, by: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (x.astype(np.uint64) + np.uint64(by)) * np.uint64(0x9E3779B97F4A7C15)
-        return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+def _halves(table: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The 32 bits of each descriptor (a row of four words) that its table goes by."""
+    return (words[np.arange(len(table)), table // 2] >> (32 * (table % 2)).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of table entries in order of their key: pairs of keypoints to be compared, of different images, the smaller image first."""
+    """Of table entries in order: the pairs of keypoints that differ in ``DISTANCE`` bits or fewer, of different images, the smaller image first.
+
+    All pairs of an entry are compared, whatever its size; those of large entries in blocks, so that memory doesn't follow their number.
+    """
     held: list[np.ndarray] = []
 
-    def of(key, image, point, sketch) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
+    def found(i, j, image, point, words) -> Iterator[pa.RecordBatch]:
+        off = np.zeros(len(i), np.int64)
+        for k in range(4):
+            off += np.bitwise_count(words[i, k] ^ words[j, k])
+        keep = (off <= DISTANCE) & (image[i] != image[j])
+        i, j = i[keep], j[keep]
+        i, j = np.where(image[i] < image[j], i, j), np.where(image[i] < image[j], j, i)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (image[i], point[i], image[j], point[j])], ["a", "pa", "b", "pb"])
+
+    def of(table, image, point, *words) -> Iterator[pa.RecordBatch]:
+        words = np.stack(words, 1).view(np.uint64)
+        half = _halves(table, words)
+        first = np.flatnonzero(np.concatenate([[True], (half[1:] != half[:-1]) | (table[1:] != table[:-1])]))
+        size = np.diff(np.append(first, len(table)))
+        entry = np.repeat(np.arange(len(size)), size)
         short = np.repeat(size <= ALL_PAIRS, size)
-        pairs = []
         for lag in range(1, min(ALL_PAIRS, int(size.max(initial=1)))):
-            i = np.flatnonzero((key[lag:] == key[:-lag]) & short[lag:])
-            pairs.append((i, i + lag))
-        for a, n in zip(first[size > ALL_PAIRS], size[size > ALL_PAIRS], strict=True):
-            own = np.arange(a, a + n)
-            for root in {int(a + image[own].argmin()), *(int(a + _mixed(image[own], s).argmin()) for s in (1, 2))}:
-                pairs.append((np.full(n, root), own))
-        for i, j in pairs:
-            keep = (image[i] != image[j]) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= SKETCH)
-            i, j = i[keep], j[keep]
-            i, j = np.where(image[i] < image[j], i, j), np.where(image[i] < image[j], j, i)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (image[i], point[i], image[j], point[j])], ["a", "pa", "b", "pb"])
+            i = np.flatnonzero((entry[lag:] == entry[:-lag]) & short[lag:])
+            yield from found(i, i + lag, image, point, words)
+        for a, n in zip(first[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
+            for x in range(a, a + n, BLOCK):
+                xs = np.arange(x, min(x + BLOCK, a + n))
+                for y in range(x, a + n, BLOCK):
+                    ys = np.arange(y, min(y + BLOCK, a + n))
+                    off = np.zeros((len(xs), len(ys)), np.uint16)
+                    for k in range(4):
+                        off += np.bitwise_count(words[xs, k][:, None] ^ words[ys, k])
+                    i, j = np.nonzero(off <= DISTANCE)
+                    i, j = xs[i], ys[j]
+                    yield from found(i[i < j], j[i < j], image, point, words)
 
     for batch in batches:
-        own = [np.concatenate([*([held[k]] if held else []), batch.column(k).to_numpy()]) for k in range(4)]
+        own = [np.concatenate([*([held[k]] if held else []), batch.column(k).to_numpy()]) for k in range(7)]
         if not len(own[0]):
             continue
-        last = int(np.flatnonzero(own[0] != own[0][-1])[-1]) + 1 if own[0][0] != own[0][-1] else 0  # the last key may go on
+        half = _halves(own[0], np.stack(own[3:], 1).view(np.uint64))
+        other = np.flatnonzero((half != half[-1]) | (own[0] != own[0][-1]))
+        last = int(other[-1]) + 1 if len(other) else 0  # the last entry may go on
         if last:
-            yield from of(own[0][:last], own[1][:last], own[2][:last], own[3][:last].view(np.uint64))
+            yield from of(*[x[:last] for x in own])
         held = [x[last:] for x in own]
     if held and len(held[0]):
-        yield from of(held[0], held[1], held[2], held[3].view(np.uint64))
+        yield from of(*held)
 
 
 def agreeing(m: np.ndarray) -> int:
@@ -216,15 +233,12 @@ def _agreeing(lists: pd.Series) -> pd.Series:
 def copy_links(points: DataFrame) -> DataFrame:
     """``a, b, agree``: pairs of images of which at least ``AGREE`` matches agree."""
     id_ = lambda d: d.select("image_id", "point", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")
-    half = lambda c, k: F.shiftrightunsigned(F.col(c), 32 * k).bitwiseAND(F.lit(0xFFFFFFFF))
-    entries = F.array(*[F.xxhash64(F.lit(t), half(f"d{t // 2}", t % 2)) for t in range(TABLES)])
-    # The sketch holds every fourth bit of each word, so that it tells something that no single table has.
-    bits = F.lit(0x1111111111111111)
-    packed = F.lit(0).cast("long")
-    for k in range(4):
-        packed = packed.bitwiseOR(F.shiftleft(F.col(f"d{k}").bitwiseAND(bits), k))
-    rows = points.select(F.explode(entries).alias("key"), "image_id", "point", packed.alias("sketch"))
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings, "a long, pa long, b long, pb long")
+    # An entry's key is computed from table and descriptor wherever it is needed, so no column holds it.
+    words = F.array("d0", "d1", "d2", "d3")
+    half = F.shiftrightunsigned(F.element_at(words, (F.floor(F.col("tab") / 2) + 1).cast("int")), 32).bitwiseAND(F.lit(0xFFFFFFFF))
+    half = F.when(F.col("tab") % 2 == 1, half).otherwise(F.element_at(words, (F.floor(F.col("tab") / 2) + 1).cast("int")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    rows = points.select(F.explode(F.array(*[F.lit(t) for t in range(TABLES)])).alias("tab"), "image_id", "point", "d0", "d1", "d2", "d3")
+    pairs = rows.repartition("tab", half).sortWithinPartitions("tab", half).mapInArrow(_meetings, "a long, pa long, b long, pb long")
     # A pair of images needs so many meetings; chance ones stay below and go before anything is joined to them.
     often = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("met")).where(F.size("met") >= AGREE)
     pairs = often.select("a", "b", F.explode("met").alias("met")).select("a", "met.pa", "b", "met.pb")
@@ -245,17 +259,27 @@ def copy_links(points: DataFrame) -> DataFrame:
 def copy_classes(images: DataFrame) -> DataFrame:
     """``image_id, class_id, n_keypoints, n_links`` for each row of ``images``.
 
-    The class is the smallest id that links reach, itself included.  Images without keypoints (too small, flat, null or broken) are alone in
+    The class is the smallest id that links reach, itself included; ``n_links`` counts the images that it is linked with, equal ones too.  Images without keypoints (too small, flat, null or broken) are alone in
     theirs.  A null id has no class and no links.  Rows that repeat an id count as one image of all their keypoints.
     """
     points = written(keypoints(images), "keypoints")
-    links = written(copy_links(points), "image-links")
-    ends = links.select(F.col("a").alias("of")).unionAll(links.select(F.col("b").alias("of"))).groupBy("of").agg(F.count(F.lit(1)).alias("n"))
+    # Images of the same keypoints have the same links: only the one of the smallest id is compared, and stands for the others.
+    h = [F.xxhash64(F.lit(k), *points.columns[1:]) for k in range(2)]
+    sums = [F.sum(x) for y in h for x in (F.shiftrightunsigned(y, 32), y.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    counts = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("point").alias("own"), F.xxhash64(*sums).alias("h0"), F.xxhash64(F.lit(1), *sums).alias("h1"))
+    alike = counts.groupBy("k", "h0", "h1").agg(F.min("image_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    counts = written(counts.join(alike, ["k", "h0", "h1"]).select("image_id", "k", (F.col("own") >= AGREE).alias("enough"), "first", "n"), "images")
+    links = written(copy_links(points.join(counts.where("image_id = first AND enough").select("image_id"), "image_id", "left_semi")), "image-links")
+    one = counts.where("image_id = first").select("first", "n")
+    ends = links.select(F.col("a").alias("of"), F.col("b").alias("first")).unionAll(links.select(F.col("b").alias("of"), F.col("a").alias("first")))
+    ends = ends.join(one, "first").groupBy("of").agg(F.sum("n").alias("linked"))
     roots = connected_components(links.select("a", "b"))
-    counts = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("k"))
     own = images.select(F.col("image_id").cast("long").alias("image_id"))
-    done = own.join(counts.withColumnRenamed("image_id", "i"), F.col("image_id") == F.col("i"), "left").join(ends, F.col("image_id") == F.col("of"), "left").join(roots, F.col("image_id") == F.col("node"), "left")
     zero = F.lit(0).cast("long")
+    first = counts.select(F.col("image_id").alias("i"), "k", "enough", "first", (F.col("n") - 1).alias("alike"))
+    known = first.join(ends, F.col("first") == F.col("of"), "left").join(roots, F.col("first") == F.col("node"), "left")
+    known = known.select("i", "k", F.when(F.col("enough"), F.coalesce("root", "first")).alias("root"), F.when(F.col("enough"), F.col("alike") + F.coalesce("linked", zero)).alias("n"))
+    done = own.join(known, F.col("image_id") == F.col("i"), "left")
     return done.select("image_id", F.coalesce("root", "image_id").alias("class_id"), F.coalesce("k", zero).alias("n_keypoints"), F.coalesce("n", zero).alias("n_links"))
 
 

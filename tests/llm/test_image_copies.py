@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import image_copies
@@ -77,3 +78,25 @@ def test_recall(spark, monkeypatch, most):
 def test_scales():
     of, where, words = keypoints_of(np.stack([drawn(1, 16)] * 2) / np.float32(255))
     assert set(where[:, 2]) >= {1, 2} and (where[of == 0] == where[of == 1]).all() and (words[of == 0] == words[of == 1]).all()
+
+
+def test_large_entries():
+    """Every pair of a large table entry within the distance meets, also where neither image is among the first."""
+    r = np.random.default_rng(4)
+    n = 700
+    words = r.integers(-(1 << 62), 1 << 62, (n, 4))
+    words[:, 0] = words[0, 0]
+    words[1::2] = words[::2]
+    words[1::2, 3] ^= (1 << DISTANCE // 2) - 1
+    columns = [np.zeros(n, np.int64), np.arange(n), np.arange(n) % 5, *words.T]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[i : i + 100])) for c in columns], list("timabcd")) for i in range(0, n, 100)]
+    got = {(x["a"], x["b"]) for b in image_copies._meetings(iter(batches)) for x in b.to_pylist()}
+    assert got == {(k, k + 1) for k in range(0, n, 2)}
+
+
+def test_equal_images(spark):
+    """Equal images count one another and all that their like is linked with; without enough keypoints they stay alone."""
+    a = drawn(1)
+    small = frame(spark, [(k, a) for k in (5, 3, 9)] + [(7, a[13:, 21:]), (8, a[13:, 21:])] + [(k, np.full((64, 64), 7, np.uint8)) for k in (1, 2)])
+    got = {r.image_id: (r.class_id, r.n_links) for r in copy_classes(small).collect()}
+    assert got == {1: (1, 0), 2: (2, 0), **{k: (3, 4) for k in (3, 5, 7, 8, 9)}}
