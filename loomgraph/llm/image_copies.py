@@ -25,9 +25,10 @@ from .components import connected_components
 RADIUS = 12
 BINS = 32
 BITS = 256
-TABLES = 6
+#: One for each half of each word, so that no part of a descriptor goes without.
+TABLES = 8
 #: Differing bits, of all 256, up to which two descriptors match.
-DISTANCE = 40
+DISTANCE = 48
 #: Entries of so many descriptors are compared by shifts, larger ones in square blocks.
 ALL_PAIRS, BLOCK = 16, 512
 #: Matches that must agree, and how far off a place may be, in pixels of the match's scale.
@@ -163,12 +164,16 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held: list[np.ndarray] = []
 
-    def found(i, j, image, point, words) -> Iterator[pa.RecordBatch]:
+    def found(i, j, table, image, point, words) -> Iterator[pa.RecordBatch]:
         off = np.zeros(len(i), np.int64)
         for k in range(4):
             off += np.bitwise_count(words[i, k] ^ words[j, k])
         keep = (off <= DISTANCE) & (image[i] != image[j])
         i, j = i[keep], j[keep]
+        # A pair that meets in several tables is given by the first of them.
+        same = (words[i] ^ words[j]).view(np.uint32) == 0  # little-endian: the lower half first
+        keep = same[:, :TABLES].argmax(1) == table[i]
+        i, j = i[keep], j[keep]
         i, j = np.where(image[i] < image[j], i, j), np.where(image[i] < image[j], j, i)
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (image[i], point[i], image[j], point[j])], ["a", "pa", "b", "pb"])
@@ -182,7 +187,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = np.repeat(size <= ALL_PAIRS, size)
         for lag in range(1, min(ALL_PAIRS, int(size.max(initial=1)))):
             i = np.flatnonzero((entry[lag:] == entry[:-lag]) & short[lag:])
-            yield from found(i, i + lag, image, point, words)
+            yield from found(i, i + lag, table, image, point, words)
         for a, n in zip(first[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
             for x in range(a, a + n, BLOCK):
                 xs = np.arange(x, min(x + BLOCK, a + n))
@@ -193,7 +198,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         off += np.bitwise_count(words[xs, k][:, None] ^ words[ys, k])
                     i, j = np.nonzero(off <= DISTANCE)
                     i, j = xs[i], ys[j]
-                    yield from found(i[i < j], j[i < j], image, point, words)
+                    yield from found(i[i < j], j[i < j], table, image, point, words)
 
     for batch in batches:
         own = [np.concatenate([*([held[k]] if held else []), batch.column(k).to_numpy()]) for k in range(7)]

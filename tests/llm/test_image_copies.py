@@ -100,3 +100,21 @@ def test_equal_images(spark):
     small = frame(spark, [(k, a) for k in (5, 3, 9)] + [(7, a[13:, 21:]), (8, a[13:, 21:])] + [(k, np.full((64, 64), 7, np.uint8)) for k in (1, 2)])
     got = {r.image_id: (r.class_id, r.n_links) for r in copy_classes(small).collect()}
     assert got == {1: (1, 0), 2: (2, 0), **{k: (3, 4) for k in (3, 5, 7, 8, 9)}}
+
+
+def test_whole_distance(spark):
+    """Two descriptors that differ in 48 bits and agree on any one of the eight halves meet, wherever the other bits lie."""
+    r = np.random.default_rng(5)
+    words = r.integers(0, 1 << 32, 8).astype(np.uint64)
+    points = []
+    for half in range(8):  # images 2 * half and 2 * half + 1 share this half only
+        for point in range(AGREE):
+            a = words ^ r.integers(0, 1 << 32, 8).astype(np.uint64)
+            b = a.copy()
+            for k, other in enumerate(k for k in range(8) if k != half):
+                for bit in r.choice(32, 7 if k < 6 else 6, replace=False):
+                    b[other] ^= np.uint64(1 << int(bit))
+            for image, d in ((2 * half, a), (2 * half + 1, b)):
+                points.append((image, point, float(9 * point), float(point * point), 1.0, 0.0, *(d[::2] | d[1::2] << np.uint64(32)).view(np.int64).tolist()))
+    frame_of = spark.createDataFrame(points, image_copies.KEYPOINTS)
+    assert {(x.a, x.b) for x in copy_links(frame_of).collect()} == {(2 * h, 2 * h + 1) for h in range(8)}
