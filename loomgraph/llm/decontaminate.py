@@ -12,6 +12,7 @@ As no query can look up another term, the index of a search keeps the terms of i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices, texts, without, written
+from .common import free_name, give_back, slices, texts, without, written
 from .words import bounds, hashes, joined, word_counts
 
 WINDOW = 13
@@ -218,26 +219,41 @@ def item_blocks(items: DataFrame, window: int, most: int) -> Iterator[list[tuple
     yield block
 
 
-def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block: int = BLOCK_WINDOWS) -> DataFrame:
+def numbered_rows(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number of each row's own, and that column's name."""
+    row = free_name(docs, "row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), tag), row
+
+
+def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block: int = BLOCK_WINDOWS, keyed: bool = False) -> DataFrame:
     """``doc_id, n_words, matches`` for each row of ``docs``: exact phrases, or with ``slop`` windows whose words lie that near.
 
     ``items`` has ``item_id``, ``text``.  An item is searched as all its windows of ``window`` words, or whole if it has fewer.
-    Null or empty items match nothing.
+    Null or empty items match nothing.  With ``keyed``, no two rows share a ``doc_id``, and none is null.
     """
     if slop is not None and slop >= GAP or window > GAP:
         raise ValueError(f"windows and slop must stay below {GAP} words")
-    parts = []
     plain = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text"))
-    for own in item_blocks(plain, window, block):
-        index = written(build_index(docs, sorted({w for _, words in own for w in words})), "index")
-        parts.append(index.mapInPandas(_search(own, window, slop), f"doc_id long, n_words long, matches {MATCHES}"))
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    # Rows that repeat a document id stay apart only where they have other words; a repeated row's matches are the same anyway.
-    return whole.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    blocks = item_blocks(plain, window, block)
+    first = next(blocks)
+    second = next(blocks, None)
+
+    def found(rows: DataFrame, own: list[tuple[int | None, list[str]]]) -> DataFrame:
+        index = written(build_index(rows, sorted({w for _, words in own for w in words})), "index")
+        return index.mapInPandas(_search(own, window, slop), f"doc_id long, n_words long, matches {MATCHES}")
+
+    if second is None:
+        return found(docs, first)
+    # Blocks are put together by row, as ids may repeat or be null.
+    rows, row = (docs, "doc_id") if keyed else numbered_rows(texts(docs), "rows")
+    own = rows.select(F.col(row).alias("doc_id"), "text")
+    whole = found(own, first)
+    for more in chain([second], blocks):
+        whole = whole.unionByName(found(own, more))
+    whole = whole.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    if keyed:
+        return whole
+    return whole.withColumnRenamed("doc_id", row).join(rows.select(row, "doc_id"), row).select("doc_id", "n_words", "matches")
 
 
 def hit_words(matches: Column) -> Column:
@@ -252,17 +268,19 @@ def hit_words(matches: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda acc: acc["total"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block: int = BLOCK_WINDOWS, keyed: bool = False) -> DataFrame:
     """``doc_id, n_words, n_hit, items, contaminated`` for each row of ``docs``.
 
     Contaminated: at least one word is hit, and at least one in ``share``.  ``items`` are the ids (null ones left out), sorted as
     strings.  A null or empty text has no words and is clean.
     """
-    found = search(docs, items, window).withColumn("n_hit", hit_words(F.col("matches")))
+    found = search(docs, items, window, None, block, keyed).withColumn("n_hit", hit_words(F.col("matches")))
     ids = F.array_sort(F.transform(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda i: i.isNotNull())), lambda i: i.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", ids.alias("items"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated.  A null ``doc_id`` is compared like any other value."""
-    return without(docs, contamination(docs, items, window, share).where("contaminated").select("doc_id"))
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, each by its own text, also where rows share a ``doc_id`` or have none."""
+    rows, row = numbered_rows(docs, "rows")
+    own = rows.select(F.col(row).alias("doc_id"), "text")
+    return without(rows, contamination(own, items, window, share, block, True).where("contaminated").select("doc_id"), row).drop(row)

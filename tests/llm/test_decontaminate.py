@@ -79,3 +79,20 @@ def test_index_of_all_terms(spark):
     seg = Segment(row.doc_ids, row.n_words, row.terms, row.sizes, row.postings)
     doc, place = seg.where(seg.phrase(["to", "be"]))
     assert doc.tolist() == [0, 0] and place.tolist() == [0, 4] and seg.phrase(["be", "be"]).tolist() == []
+
+
+def test_blocks_by_row(spark):
+    """Repeated and null ids: each row has its own hits and stays or goes by them, in one block of items and in several."""
+    pad = " ".join(f"p{k}" for k in range(28))
+    items = [(1, "alpha beta"), (2, "gamma delta"), (3, "epsilon zeta"), (4, "one two three")]
+    docs = [(None, "alpha beta " + pad), (None, "nothing here " + pad), (7, "gamma delta " + pad), (7, "all is clean " + pad[3:]), (8, "epsilon zeta"), (8, "epsilon zeta"), (9, None), (9, None), (5, "alpha " + pad * 3), (5, "beta " + pad * 3)]
+    d, b = frames(spark, docs, items)
+    order = lambda r: (str(r[0]), r[1:])
+    want = sorted(brute(docs, items), key=order)
+    for block in (2, 4, 1000):
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in contamination(d, b, block=block).collect()), key=order)
+        assert got == want
+        kept = decontaminated(d, b, block=block)
+        assert kept.columns == d.columns
+        bad = {t for (_, t), r in zip(docs, brute(docs, items), strict=True) if r[4]}
+        assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in docs if t not in bad)
