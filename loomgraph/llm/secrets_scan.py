@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate and its context.
 
-Base spans come from three patterns and always stay.  Every run of ``CANDIDATE`` characters with a digit that overlaps no base
-span goes through the network with the characters around it: embedded characters, one convolution, maximum and mean over all
+Base spans come from three patterns and always stay.  Every run of ``RUN``, unless it lies within a base span,
+goes through the network with the characters around it: embedded characters, one convolution, maximum and mean over all
 positions (a candidate of any length, uncut), a logistic layer.  It is trained in numpy on labelled findings; its scores are calibrated
 on findings kept apart (Platt), and the threshold is the largest that keeps ``RECALL`` of the calibration secrets.
 """
@@ -28,6 +28,8 @@ ASSIGN_LEAST = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: What the network scores: runs of 8 characters or more, with a digit or not.
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
 KINDS = ("assign", "access", "hex", "model")
 LEFT, RIGHT = 24, 8
 RECALL = 0.98
@@ -43,7 +45,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs with a digit that overlap no base span."""
+    """The plainest of the runs: of 16 characters or more, with a digit, that overlap no base span."""
     out, i = [], 0
     ends = []  # base spans may overlap one another: the largest end so far
     for _, _, e in base:
@@ -59,6 +61,19 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """All runs that the network scores: those that no base span covers, also where they overlap one."""
+    out, i, end = [], 0, 0
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        while i < len(base) and base[i][0] <= a:
+            end = max(end, base[i][2])
+            i += 1
+        if end < b:
+            out.append((a, b))
+    return out
+
+
 def made_findings(n: int = 3000, seed: int = MODEL_SEED) -> list[tuple[str, str, str, int]]:
     """Labelled findings (left, candidate, right, label) from templates of secrets and of what looks like them, by a seeded rule."""
     r = random.Random(seed)
@@ -78,6 +93,10 @@ def made_findings(n: int = 3000, seed: int = MODEL_SEED) -> list[tuple[str, str,
         lambda: (r.choice(["://admin:", "://root:", "-p ", "login "]), some(b64, r.randint(16, 30)) + some("0123456789", 2)),
         lambda: (r.choice([" ", "key ", "google "]), "AIza" + some(b64 + "-_", 35)),
         lambda: (r.choice(["signature=", "sig=", "hmac "]), some(b64 + "+/", r.randint(28, 60)) + "="),
+        lambda: (r.choice(["pwd: ", "pwd=", "pass: ", "passcode: ", "login pwd "]), some(b64, r.randint(8, 15))),
+        lambda: (r.choice(["Authorization: Bearer ", "bearer ", "Bearer: "]), some(b64[:52], r.randint(18, 48))),
+        lambda: (r.choice(["passphrase: ", "pwd: ", "passphrase="]), r.choice("-_.").join(some(letters, r.randint(3, 8)) for _ in range(r.randint(4, 6)))),
+        lambda: (r.choice(["key: ", "auth: ", "credential: "]), some(b64, r.randint(6, 12)) + some(hexa, r.randint(16, 24)) + some(b64, r.randint(6, 12))),
     ]
     plain = [
         lambda: (" ", f"{word()}.{r.randint(1, 99)}"[:14] + "." + word() + word()),
@@ -93,17 +112,22 @@ def made_findings(n: int = 3000, seed: int = MODEL_SEED) -> list[tuple[str, str,
         lambda: (r.choice(["call ", "tel ", " "]), f"+{r.randint(1, 99)}-{some('0123456789', 3)}-{some('0123456789', 4)}-{some('0123456789', 4)}"),
         lambda: (r.choice(["placeholder ", "e.g. "]), r.choice(["your-key-here-", "xxxxxxxxxxxxxxxx", "changeme-example-", "EXAMPLE-ONLY-0000-"]) + str(r.randint(1, 999))),
         lambda: (" ", some("0123456789", r.randint(2, 6)) + "." + some("0123456789", r.randint(12, 16))),
+        *[lambda: (" ", some(letters, r.randint(8, 14)))] * 4,
+        lambda: (" ", some(letters, r.randint(8, 14)).capitalize() + r.choice(["", "."])),
+        lambda: (" ", "-".join(some(letters, r.randint(4, 8)) for _ in range(r.randint(2, 4)))),
+        lambda: (r.choice([" ", "digest ", "commit "]), r.choice(["sha256-", "commit-", "rev_"]) + some(hexa, r.choice([40, 64]))),
     ]
     out = []
     for _ in range(n):
         label = r.randint(0, 1)
         before, body = r.choice(secrets if label else plain)()
-        m = CANDIDATE.search(body)
-        if m is None or not any(c.isdigit() for c in m[0]):
+        left = words(r.randint(0, 5)) + r.choice([" ", "\n", ", "]) + before
+        text = left + body + r.choice([" ", "\n", '"', ". ", ", "]) + words(2)
+        # The run that a scan would see, which may begin before the body; what is too short for a run is no finding.
+        m = next((m for m in RUN.finditer(text) if m.end() > len(left)), None)
+        if m is None or m.start() >= len(left) + len(body):
             continue
-        left = words(r.randint(0, 5)) + r.choice([" ", "\n", ", "]) + before + body[: m.start()]
-        right = body[m.end() :] + r.choice([" ", "\n", '"', ". ", ", "]) + words(2)
-        out.append((left[-LEFT:], m[0], right[:RIGHT], label))
+        out.append((text[: m.start()][-LEFT:], m[0], text[m.end() :][:RIGHT], label))
     return out
 
 
@@ -235,7 +259,7 @@ def _spans(texts: list[str], scanner: Scanner) -> list[list[tuple[int, int, int,
     for k, text in enumerate(texts):
         base = base_spans(text)
         out.append([(*b, 1.0) for b in base])
-        for a, b in candidates(text, base):
+        for a, b in runs(text, base):
             rows.append((text[max(0, a - LEFT) : a], text[a:b], text[b : b + RIGHT]))
             at.append((k, a, b))
     if rows:

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm.secrets_scan import CANDIDATE, KINDS, LEFT, RECALL, RIGHT, Scanner, base_spans, candidates, made_findings, secrets, spans_of
+from loomgraph.llm.secrets_scan import CANDIDATE, HEX, KINDS, LEFT, RECALL, RIGHT, Scanner, base_spans, candidates, made_findings, runs, secrets, spans_of
 
 KEY = "|".join("".join(f"[{c.lower()}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
 
@@ -62,3 +62,17 @@ def test_whole_table(spark, scanner):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for r in secrets(docs, scanner).collect():
         assert [(s["start"], KINDS.index(s["kind"]), s["end"]) for s in r.secrets if s["kind"] != "model"] == brute_base(r.text or "")
+
+
+def test_every_run_is_scored(scanner):
+    """Short secrets, those without a digit, and keys around a run of hexadecimal digits are found as a whole."""
+    key = "qZ7xKp" + "0123456789abcdef" + "Rt9vWm"
+    for before, secret in (("pwd: ", "Xk9mQ2vL8pR4t"), ("Authorization: Bearer ", "QwZxKjHgTrYvBnMpLsDfCqWz"), ("passphrase: ", "kelvon-tarsim-bodrig-pelluna"), ("key: ", key)):
+        text = "some words " + before + secret + " and more"
+        at = len("some words " + before)
+        assert (at, at + len(secret)) in runs(text, base_spans(text))
+        assert (at, 3, at + len(secret)) in [x[:3] for x in spans_of(text, scanner)], secret
+    assert [x[:3] for x in spans_of("key: " + key, scanner)] == [(5, 3, 5 + len(key)), (11, 2, 27)]
+    assert all(len(b) < 16 or not re.search("[0-9]", b) or HEX.search(b) for b in ("Xk9mQ2vL8pR4t", key))
+    short = [x for x in made_findings(1500, seed=3) if x[3] and (len(x[1]) < 16 or not re.search("[0-9]", x[1]))]
+    assert len(short) > 50 and np.mean(scanner.scores([x[:3] for x in short]) >= scanner.threshold) > RECALL - 0.05
