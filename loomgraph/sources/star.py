@@ -1,7 +1,7 @@
 """The star schema of customers, orders and parts as a property graph.
 
 A vertex id is its label's number times 2**40 plus the table's key, so ids need no numbering.  Edges of tables with a key take it likewise, times
-2**58; the lines of an order, which have no key, are numbered within their order, by all their columns.  As every label is a literal, a
+2**58; the lines of an order, which have no key, are numbered within their order, by all their columns, and groups of any size keep ids apart.  As every label is a literal, a
 filter by label leaves just the tables that have it.
 """
 
@@ -15,8 +15,11 @@ from ..graph import PropertyGraph
 
 VERTICES = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "order": 6, "turn": 7}
 EDGES = {"in_region": 1, "customer_in": 2, "supplier_in": 3, "placed": 4, "contains": 5, "filled_by": 6, "next": 7}
-TURNS = 1024  # of a conversation at most, for the ids of turns
-LINES = 1024  # of an order at most
+#: Places of a group, a turn's of a conversation or a line's of an order, whose ids lie side by side; those of later places lie apart (``placed_id``).
+TURNS = LINES = 1024
+#: Above all other ids, 2**61 for each kind of later place: so many bits for the place, the rest for its group.
+APART = {"contains": 8 << 58, "filled_by": 16 << 58, "next": 24 << 58, "turn": 8 << 58}
+PLACE_BITS, GROUP_BITS = 30, 31
 
 
 def vertex(label: str, key: Column) -> Column:
@@ -27,6 +30,27 @@ def edge(name: str, key: Column) -> Column:
     return (F.lit(EDGES[name] << 58) + key.cast("long")).cast("long")
 
 
+def placed_id(name: str, base: int, room: int, many: int, group: Column, place: Column) -> Column:
+    """The id of a place (0, 1, ...) in its group: group * many + place above ``base`` for the first ``many``, else apart.
+
+    No two ids are equal; a group or place that doesn't fit its bits fails.
+    """
+    group, place = group.cast("long"), place.cast("long")
+    fail = F.raise_error(F.concat(F.lit(f"no id of {name} for group and place "), group.cast("string"), F.lit(", "), place.cast("string"))).cast("long")
+    near = (group >= 0) & (group < room // many) & (place >= 0) & (place < many)
+    far = (group >= 0) & (group < 1 << GROUP_BITS) & (place >= many) & (place < 1 << PLACE_BITS)
+    apart = F.lit(APART[name]) + group * F.lit(1 << PLACE_BITS) + place
+    return F.when(group.isNull() | place.isNull(), F.lit(None).cast("long")).when(near, F.lit(base) + group * many + place).when(far, apart).otherwise(fail)
+
+
+def turn_id(conversation: Column, turn: Column) -> Column:
+    return placed_id("turn", VERTICES["turn"] << 40, 1 << 40, TURNS, conversation, turn)
+
+
+def line_id(name: str, order: Column, number: Column) -> Column:
+    return placed_id(name, EDGES[name] << 58, 1 << 58, LINES, order, number)
+
+
 #: Properties of each vertex label (fixed values).
 PROPERTIES = {
     "region": {"name": "r_name"},
@@ -61,7 +85,7 @@ def star(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     c = F.col
     lines = read("lineitem")
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*lines.columns)) - 1
-    lines = lines.withColumn("line", c("l_orderkey") * LINES + number)
+    lines = lines.withColumn("line", number)
     return PropertyGraph(
         spark,
         _all(own),
@@ -71,8 +95,8 @@ def star(spark: SparkSession, sf_dir: str) -> PropertyGraph:
                 edges(read("customer"), edge("customer_in", c("c_custkey")), vertex("customer", c("c_custkey")), vertex("nation", c("c_nationkey")), "in_nation"),
                 edges(read("supplier"), edge("supplier_in", c("s_suppkey")), vertex("supplier", c("s_suppkey")), vertex("nation", c("s_nationkey")), "in_nation"),
                 edges(read("orders"), edge("placed", c("o_orderkey")), vertex("customer", c("o_custkey")), vertex("order", c("o_orderkey")), "placed", time=c("o_orderdate")),
-                edges(lines, edge("contains", c("line")), vertex("order", c("l_orderkey")), vertex("part", c("l_partkey")), "contains", c("l_quantity"), c("l_extendedprice"), c("l_shipdate")),
-                edges(lines, edge("filled_by", c("line")), vertex("order", c("l_orderkey")), vertex("supplier", c("l_suppkey")), "filled_by", c("l_quantity"), c("l_extendedprice"), c("l_shipdate")),
+                edges(lines, line_id("contains", c("l_orderkey"), c("line")), vertex("order", c("l_orderkey")), vertex("part", c("l_partkey")), "contains", c("l_quantity"), c("l_extendedprice"), c("l_shipdate")),
+                edges(lines, line_id("filled_by", c("l_orderkey"), c("line")), vertex("order", c("l_orderkey")), vertex("supplier", c("l_suppkey")), "filled_by", c("l_quantity"), c("l_extendedprice"), c("l_shipdate")),
             ]
         ),
         {"emb": read("embeddings").select(vertex("customer", c("vec_id")).alias("id"), c("embedding").alias("vec"))},
@@ -82,8 +106,10 @@ def star(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 def conversations(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Turns, each with an edge to the one that follows."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    turn = vertex("turn", F.col("conv_id") * TURNS + F.col("turn"))
+    turn, conversation = F.col("turn"), F.col("conv_id")
     follow = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    own = rows.select(turn.alias("id"), F.lit("turn").alias("label"), "role", F.col("turn").cast("long").alias("turn"), "conv_id", F.when(follow.isNotNull(), vertex("turn", F.col("conv_id") * TURNS + follow)).alias("next"))
-    edges = own.where("next IS NOT NULL").select((F.lit((EDGES["next"] << 58) - (VERTICES["turn"] << 40)) + F.col("id")).alias("id"), F.col("id").alias("src"), F.col("next").alias("dst"), F.lit("next").alias("label"))
-    return PropertyGraph(spark, own.drop("next"), edges)
+    rows = rows.withColumn("follow", follow)
+    edge_id = placed_id("next", EDGES["next"] << 58, 1 << 40, TURNS, conversation, turn)
+    own = rows.select(turn_id(conversation, turn).alias("id"), F.lit("turn").alias("label"), "role", turn.cast("long").alias("turn"), "conv_id", turn_id(conversation, F.col("follow")).alias("next"), edge_id.alias("edge"))
+    edges = own.where("next IS NOT NULL").select(F.col("edge").alias("id"), F.col("id").alias("src"), F.col("next").alias("dst"), F.lit("next").alias("label"))
+    return PropertyGraph(spark, own.drop("next", "edge"), edges)

@@ -3,10 +3,11 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.sources.readers import edge_list, embedding_parts, flights, interned, wiki, with_properties
-from loomgraph.sources.star import VERTICES, conversations, star
+from loomgraph.sources.star import VERTICES, conversations, line_id, star, turn_id
 from loomgraph.sources.writers import csv_lines, json_lines, write_csv, write_json, write_parquet
 from loomgraph.streaming.ingest import append_edges, running_degrees, windowed_edges
 
@@ -104,3 +105,17 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
     assert {r.id: r.degree for r in spark.table("degrees").collect()} == {0: 4, 1: 2}
     assert sorted((r.label, r.n) for r in spark.table("windows").collect()) == [("e", 4), ("f", 2)]
+
+
+def test_large_groups(spark, tmp_path):
+    """Conversations of 1024 turns and more, and orders of as many lines, share no ids with the next ones; what fits no id fails."""
+    spark.range(1500).selectExpr("IF(id < 1300, 1, 2) AS conv_id", "IF(id < 1300, id, id - 1300) AS turn", "'user' AS role", "'t' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    turns = conversations(spark, str(tmp_path))
+    assert turns.vertices.select("id").distinct().count() == 1500 and turns.num_edges() == 1498
+    assert turns.edges.select("id").distinct().count() == 1498 and turns.dangling_edges().count() == 0
+    assert turns.vertices.join(turns.edges, turns.vertices["id"] == turns.edges["dst"], "left_anti").count() == 2
+    small = spark.range(1300).selectExpr("IF(id < 1200, 1, 2) AS o", "IF(id < 1200, id, id - 1200) AS n")
+    for name in ("contains", "filled_by"):
+        assert small.select(line_id(name, F.col("o"), F.col("n")).alias("id")).distinct().count() == 1300
+    with pytest.raises(Exception, match="no id of turn"):
+        spark.range(1).select(turn_id(F.lit(1), F.lit(-1))).collect()
