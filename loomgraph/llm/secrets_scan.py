@@ -113,6 +113,7 @@ def made_findings(n: int = 3000, seed: int = MODEL_SEED) -> list[tuple[str, str,
         lambda: (r.choice(["placeholder ", "e.g. "]), r.choice(["your-key-here-", "xxxxxxxxxxxxxxxx", "changeme-example-", "EXAMPLE-ONLY-0000-"]) + str(r.randint(1, 999))),
         lambda: (" ", some("0123456789", r.randint(2, 6)) + "." + some("0123456789", r.randint(12, 16))),
         *[lambda: (" ", some(letters, r.randint(8, 14)))] * 4,
+        *[lambda: (r.choice([" ", "!! ", f"{word().upper()}!! ", f"{word().upper()} "]), some(letters, r.randint(8, 14)).upper() + r.choice(["", ".", ",", "!!"]))] * 3,
         lambda: (" ", some(letters, r.randint(8, 14)).capitalize() + r.choice(["", "."])),
         lambda: (" ", "-".join(some(letters, r.randint(4, 8)) for _ in range(r.randint(2, 4)))),
         lambda: (r.choice([" ", "digest ", "commit "]), r.choice(["sha256-", "commit-", "rev_"]) + some(hexa, r.choice([40, 64]))),
