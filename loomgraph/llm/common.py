@@ -5,15 +5,18 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker takes at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch on its way to a Python worker; by Spark's own bound (64 MB) JVM and worker would hold several times as much.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in a local session one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        # Only a local session has no such setting; there, one machine is driver and executor.
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -49,6 +53,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of ``BATCH_BYTES`` at most, or of one row; the session's setting is lowered for that."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = rows.sparkSession.conf
+    if conf.get(name, None) != str(BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def long_id(df: DataFrame, name: str = "doc_id") -> Column:
     return df[name].cast("long")
 

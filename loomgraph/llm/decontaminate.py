@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, give_back, slices, texts, without, written
+from .common import free_name, give_back, in_arrow, slices, texts, without, written
 from .words import bounds, hashes, joined, word_counts
 
 WINDOW = 13
@@ -131,7 +131,7 @@ def build_index(docs: DataFrame, vocabulary: list[str] | None = None) -> DataFra
 
     ``vocabulary`` None keeps all terms (told apart by a 64-bit hash); else those terms, compared byte by byte.
     """
-    return texts(docs).mapInArrow(_segments(vocabulary), INDEX)
+    return in_arrow(texts(docs), _segments(vocabulary), INDEX)
 
 
 class Segment:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, new_path, remove, row_slices, slices, text_bytes, written
+from .common import free_name, in_arrow, new_path, remove, row_slices, slices, text_bytes, written
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 FANOUT = 4
@@ -55,7 +55,7 @@ def _keys_of(least: int):
 
 def doc_lines(docs: DataFrame, least: int = 20) -> DataFrame:
     """``doc_id, h1, h2``: each document's distinct line hashes (128 bits in two columns)."""
-    return docs.mapInArrow(_keys_of(least), "doc_id long, h1 long, h2 long")
+    return in_arrow(docs, _keys_of(least), "doc_id long, h1 long, h2 long")
 
 
 class LineRuns:
@@ -166,6 +166,6 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, bat
     # The lists are small beside the texts: they are hashed, so the texts stream through unsorted.
     both = body.join(drops.withColumnRenamed("doc_id", "of").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")), "left").select("row", "drops")
     result = T.StructType([T.StructField("row", body.schema["row"].dataType), T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    done = both.mapInArrow(_drop_from(least_chars), result)
+    done = in_arrow(both, _drop_from(least_chars), result)
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
     return done.select(*[(F.col("kept") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns], F.col("n_lines").alias(n_lines), F.col("n_dropped").alias(n_dropped))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, row_slices, slices
+from .common import free_name, in_arrow, row_slices, slices
 from .words import bounds, hashes, joined, word_counts
 
 BUCKETS = 1 << 16
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     """A machine fitted to rows of ``labels`` outside the held-out fold.
 
     A document with several labels has the largest; null ids and null labels are left out.  Of labelled documents with the
-    same id, each row counts.
+    same id one row counts, by a hash of its text.  At most ``max_rows`` labelled documents are taken, by a hash of their ids.
     """
     rows = labels.select(labels["doc_id"].cast("long").alias("id"), labels[label].cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     rows = rows.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -187,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(cut(index.astype(np.uint16)), pa.binary()), pa.array(cut(value), pa.binary()), pa.array([x.tobytes() for x in stats], pa.binary())], ["id", "y", "i", "x", "s"])
 
     own = _plain(docs).join(F.broadcast(rows), F.col("doc_id") == F.col("id")).select("doc_id", "text", "n_chars", "y")
-    got = sorted(own.mapInArrow(run, "id long, y int, i binary, x binary, s binary").limit(4 * max_rows).collect())
+    one = own.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "n_chars", "y")).alias("r")).select("doc_id", "r.text", "r.n_chars", "r.y")
+    got = sorted(in_arrow(one, run, "id long, y int, i binary, x binary, s binary").collect())
     index = [np.frombuffer(r.i, np.uint16) for r in got]
     at = np.concatenate([[0], np.cumsum([len(x) for x in index])]).astype(np.int64)
     stats = np.frombuffer(b"".join(r.s for r in got), np.float32).reshape(-1, len(STATS))
@@ -213,7 +214,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), (docs["n_chars"].cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")).alias("n_chars"))
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType())])
     name = free_name(docs, "score")
-    return rows.mapInArrow(_score(machine), out).select("row.*", F.col("score").alias(name))
+    return in_arrow(rows, _score(machine), out).select("row.*", F.col("score").alias(name))
 
 
 def kept(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:

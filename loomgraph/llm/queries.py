@@ -28,7 +28,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = encoded(docs, model_bytes(public_tokenizers.path("piece_bpe_32k.model")), with_ids=False)
+    done = encoded(docs, model_bytes(public_tokenizers.path("piece_bpe_32k.model")), ["n_tokens", "ids_crc32", "decoded"], with_text=False)
     return done.select("doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

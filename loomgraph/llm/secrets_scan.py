@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, row_slices
+from .common import free_name, in_arrow, row_slices
 
 #: The base patterns (fixed values), in the order of their kinds.  Key words match in either case, of ASCII letters only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -291,4 +291,4 @@ def secrets(docs: DataFrame, scanner: Scanner) -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("secrets", T.ArrayType(span))])
-    return rows.mapInArrow(_scan(scanner), out).select("row.*", F.col("secrets").alias(free_name(docs, "secrets")))
+    return in_arrow(rows, _scan(scanner), out).select("row.*", F.col("secrets").alias(free_name(docs, "secrets")))

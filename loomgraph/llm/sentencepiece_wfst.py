@@ -19,7 +19,7 @@ import heapq
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +28,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import Chunks
-from .common import free_name, row_slices
+from .common import free_name, in_arrow, slices
 from .tables import Table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of text at once: larger slices meet more new chunks together, and numpy works on longer arrays.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: A character without a piece costs this much more than the dearest piece.
 UNKNOWN_PENALTY = 10.0
 #: Characters of a chunk above which it is searched on its own.
 LONG = 40
 #: Distinct chunks that a worker remembers.
-CHUNKS = 150_000
-#: Characters whose lattices are in memory at once, besides one long chunk's.
-AT_ONCE = 200_000
+CHUNKS = 80_000
+#: Characters whose lattices are in memory at once.
+AT_ONCE = 100_000
+#: Characters of a chunk above which its lattice is made window by window, so many positions at a time.
+WINDOW = 16_384
+#: Seams between two pieces that a worker remembers.
+SEAMS = 50_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -263,36 +267,47 @@ class Model:
 
     def _one_seam(self, a: int, b: int) -> bool:
         if (own := self.known.get((a, b))) is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > SEAMS:
                 self.known.clear()
             own = self.known[a, b] = bool(self.seam(np.array([a]), np.array([b]))[0])
         return own
 
-    def _best_of_long(self, fits: np.ndarray, start: int, size: int, last: np.ndarray, length: np.ndarray) -> None:
-        """As ``_best`` for one long chunk."""
-        rows = [x.tolist() for x in fits[:, start : start + size]]
-        tokens, sizes, cost = [-1] * (size + 1), [0] * (size + 1), [0.0] + [np.inf] * size
-        for e in range(1, size + 1):
-            for k in range(min(self.longest, e), 0, -1):
-                t, s = rows[k][e - k], e - k
-                if t < 0:
-                    continue
-                if self.kind == UNIGRAM:
-                    if cost[s] + self.cost[t] < cost[e]:
-                        cost[e], tokens[e], sizes[e] = cost[s] + self.cost[t], t, k
-                elif not s or self._one_seam(tokens[s], t):
-                    tokens[e], sizes[e] = t, k
-                    break
-        last[start : start + size + 1], length[start : start + size + 1] = tokens, sizes
+    def _best_of_long(self, char: np.ndarray, last: np.ndarray, length: np.ndarray) -> None:
+        """As ``_best`` for one long chunk.  Of its lattice only a window is there at a time; what a window needs of the one before goes along."""
+        tokens, sizes, cost, low = [-1], [0], [0.0], 0
+        for begin in range(0, len(char), WINDOW):
+            end = min(begin + WINDOW, len(char))
+            more = max(0, begin - self.longest)  # pieces that end in this window begin here at the earliest
+            tokens, sizes, cost, low = tokens[more - low :], sizes[more - low :], cost[more - low :], more
+            rows = [x.tolist() for x in self._arcs(char[low:end], np.full(end - low, end - low))]
+            for e in range(begin + 1 - low, end + 1 - low):
+                best, token, size = np.inf, -1, 0
+                for k in range(min(self.longest, e), 0, -1):
+                    s = e - k
+                    t = rows[k][s]
+                    if t < 0:
+                        continue
+                    if self.kind == UNIGRAM:
+                        if cost[s] + self.cost[t] < best:
+                            best, token, size = cost[s] + self.cost[t], t, k
+                    elif not s + low or self._one_seam(tokens[s], t):
+                        token, size = t, k
+                        break
+                tokens.append(token)
+                sizes.append(size)
+                cost.append(best)
+            last[begin + 1 : end + 1], length[begin + 1 : end + 1] = tokens[begin + 1 - low :], sizes[begin + 1 - low :]
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all (normalised, non-empty) chunks in one array, and how many each has; so many chunks at once that their lattice stays small."""
         parts, first, total = [], 0, 0
         for i, x in enumerate(chunks):
+            if total and total + len(x) > AT_ONCE:
+                parts.append(self._encode(chunks[first:i]))
+                first, total = i, 0
             total += len(x)
-            if total >= AT_ONCE or i == len(chunks) - 1:
-                parts.append(self._encode(chunks[first : i + 1]))
-                first, total = i + 1, 0
+        if chunks:
+            parts.append(self._encode(chunks[first:]))
         if not parts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -305,16 +320,23 @@ class Model:
         start = stop - size
         char = self.char[raw]
         char[stop] = -1
-        fits = self._arcs(char, np.repeat(stop, size + 1))
-        last, length = np.full(len(raw), -1, np.int64), np.zeros(len(raw), np.int64)
+        last, length = np.full(len(raw), -1, np.int32), np.zeros(len(raw), np.int32)
         deal = np.argsort(-size, kind="stable")
         long = int((size > LONG).sum())
         for i in deal[:long]:
-            self._best_of_long(fits, int(start[i]), int(size[i]), last, length)
+            a, b = int(start[i]), int(stop[i])
+            self._best_of_long(char[a:b], last[a : b + 1], length[a : b + 1])
         if long < len(deal):
-            self._best(fits, start[deal[long:]], size[deal[long:]], last, length)
+            # The short chunks' lattice; a long one's characters have no arcs here.
+            short = np.repeat(size <= LONG, size + 1)
+            place = np.cumsum(short) - 1
+            fits = self._arcs(char[short], place[np.repeat(stop, size + 1)[short]])
+            own = np.full(len(place[short]), -1, np.int32)
+            sizes = np.zeros(len(own), np.int32)
+            self._best(fits, place[start[deal[long:]]], size[deal[long:]], own, sizes)
+            last[short], length[short] = own, sizes
         # Back along all paths at once; each piece is noted at its first position.
-        own = np.full(len(raw), -1, np.int64)
+        own = np.full(len(raw), -1, np.int32)
         at, first = stop.copy(), start
         while len(at):
             before = at - length[at]
@@ -375,22 +397,26 @@ def _model(raw: bytes) -> Model:
     return _models[key]
 
 
-def _encode(raw: bytes, with_ids: bool):
+def _encode(raw: bytes, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(raw)
         for batch in batches:
-            for part, text in row_slices(batch, most=SLICE):
-                ids, at = model.encode_all(text.to_pylist())
+            for part in slices(batch, most=SLICE):
+                texts = part.column("text").to_pylist()
+                ids, at = model.encode_all(texts)
                 back = model.decode_all(ids, at)
                 cut = at.tolist()
                 blob = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(blob[4 * a : 4 * b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                columns = [part.column("row"), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(back, pa.binary()).cast(pa.string(), safe=False)]
-                names = ["row", "n_tokens", "ids_crc32", "decoded"]
-                if with_ids:
-                    columns.insert(1, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
-                    names.insert(1, "ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                new = {"row": part.column("row"), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())}
+                if "ids" in names:
+                    new["ids"] = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                if "decoded" in names:
+                    new["decoded"] = pa.array(back, pa.binary()).cast(pa.string(), safe=False)
+                if "round_trip" in names:
+                    new["round_trip"] = pa.array([x == y.replace(SPACE, " ").encode() for x, y in zip(back, texts, strict=True)], pa.bool_())
+                del texts, back, blob
+                yield pa.RecordBatch.from_arrays([new[n] for n in names], names)
 
     return run
 
@@ -401,15 +427,21 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encoded(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
-    """``docs`` with ``ids`` (array of int; left out unless ``with_ids``), ``n_tokens``, ``ids_crc32`` and ``decoded``.
+NEW = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_crc32": T.LongType(), "decoded": T.StringType(), "round_trip": T.BooleanType()}
+
+
+def encoded(docs: DataFrame, model: bytes, new: Sequence[str] = ("ids", "n_tokens", "ids_crc32", "decoded"), with_text: bool = True) -> DataFrame:
+    """``docs`` (without ``text`` unless ``with_text``) with the columns ``new``, any of ``ids, n_tokens, ids_crc32, decoded, round_trip``.
 
     ``ids_crc32`` is of the ids as little-endian 32-bit integers.  ``decoded`` is the ids' text again: the text itself, but for
-    U+2581, which stands for a space.  Null and empty texts have no ids and an empty ``decoded``.  New columns get a suffix if
-    ``docs`` has such names.
+    U+2581, which stands for a space; ``round_trip`` says whether it is.  Null and empty texts have no ids and an empty ``decoded``.
+    A text of any length, also without a space, is encoded whole.  Repeated rows stay; an empty table stays one.  New columns get a
+    suffix if ``docs`` has such names.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    new = [("ids", T.ArrayType(T.IntegerType()))] * with_ids + [("n_tokens", T.LongType()), ("ids_crc32", T.LongType()), ("decoded", T.StringType())]
-    out = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(n, t) for n, t in new)])
-    done = rows.mapInArrow(_encode(model, with_ids), out)
-    return done.select("row.*", *[F.col(n).alias(free_name(docs, n)) for n, _ in new])
+    kept = [c for c in docs.columns if with_text or c != "text"]
+    # The text goes to the workers once, beside the rest, which alone comes back.
+    body = F.struct(*([docs[c] for c in kept] or [F.lit(0).alias("none")]))
+    rows = docs.select(body.alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    out = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(n, NEW[n]) for n in new)])
+    done = in_arrow(rows, _encode(model, ["row", *new]), out)
+    return done.select(*[F.col("row")[c].alias(c) for c in kept], *[F.col(n).alias(free_name(docs, n)) for n in new])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, texts, without, written
+from .common import in_arrow, slices, text_bytes, texts, without, written
 from .components import connected_components
 
 DISTANCE = 3
@@ -57,7 +57,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` (a signed long with the fingerprint's bits) for each row.  Null or empty texts: 0."""
-    return texts(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return in_arrow(texts(docs), _fingerprints, "doc_id long, fp long")
 
 
 def _mask(bits: list[int]) -> int:

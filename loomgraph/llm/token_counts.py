@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, row_slices
+from .common import free_name, in_arrow, row_slices
 from .tables import Table
 from .words import joined
 
@@ -166,4 +166,4 @@ def token_counts(docs: DataFrame, spec: str) -> DataFrame:
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return rows.mapInArrow(_count(spec), out).select("row.*", F.col("n_words").alias(free_name(docs, "n_words")), F.col("n_tokens").alias(free_name(docs, "n_tokens")))
+    return in_arrow(rows, _count(spec), out).select("row.*", F.col("n_words").alias(free_name(docs, "n_words")), F.col("n_tokens").alias(free_name(docs, "n_tokens")))

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .chunks import Chunks
-from .common import new_path, slices, texts, written
+from .common import in_arrow, new_path, slices, texts, written
 from .token_counts import byte_names
 
 MAGIC = b"LPFR0001"
@@ -284,7 +284,7 @@ def write_token_files(docs: DataFrame, spec: str, path: str | None = None, end:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
     parts = max(1, -(-docs.count() // task_rows))
     dealt = texts(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    manifest = written(dealt.mapInArrow(_write(path, spec, end, file_ids), MANIFEST), "manifest", f"{path}-manifest")
+    manifest = written(in_arrow(dealt, _write(path, spec, end, file_ids), MANIFEST), "manifest", f"{path}-manifest")
     return path, manifest
 
 

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from loomgraph.llm import sentencepiece_wfst
 from loomgraph.llm.sentencepiece_wfst import BPE, Model, encoded, merged, model_bytes
 
 RAW = model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
@@ -28,6 +30,28 @@ def test_long_chunks():
         assert own.encode(text) == library.encode(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("abéthr日", min_size=1, max_size=300), st.integers(16, 40))
+def test_windows(text, window):
+    """A long chunk's windows, cut anywhere, against the library."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sentencepiece_wfst, "WINDOW", window)
+        patch.setattr(sentencepiece_wfst, "LONG", 3)
+        assert Model.encode(own, text) == library.encode(text)
+        own.chunks.clear()
+
+
+def test_a_million_characters():
+    """Without a space, in a time that follows the length."""
+    took = []
+    for n in (100_000, 1_000_000):
+        text = "ศกดฟหาสวงรทเ" * (n // 12)
+        began = time.perf_counter()
+        assert own.decode(own.encode(text)) == text
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("abc", min_size=1, max_size=9))
 def test_seams_are_what_merging_leaves(text):
@@ -85,6 +109,9 @@ def test_rows(spark):
         want = library.encode(t or "")
         assert (rows[i].ids_1, rows[i].n_tokens, rows[i].ids_crc32) == (want, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         assert rows[i].decoded == (t or "").replace("▁", " ") and rows[i].ids == "c"
+    slim = encoded(docs, RAW, ["n_tokens", "round_trip"], with_text=False)
+    assert slim.columns == ["doc_id", "ids", "n_tokens", "round_trip"]
+    assert {r.doc_id: r.n_tokens for r in slim.collect()} == {i: r.n_tokens for i, r in rows.items()} and all(r.round_trip for r in slim.collect())
     assert encoded(docs.where("false"), RAW).collect() == []
 
 
