@@ -1,11 +1,13 @@
 """Copies of images, cropped or edited, by local descriptors.
 
-Corners of several scales get an orientation from their patch's intensity centroid and a 256-bit descriptor of brightness tests, the
-test points turned to that orientation.  Descriptors meet in Hamming tables of 32 bits each: two that share a table's bits are compared in full.
-A pair of images is a copy if enough of its matches agree on one turn, scale and shift.  Links make classes.
-
-All descriptors of a table entry are compared with one another, however many they are.  Images whose keypoints are all equal are compared
-once, by one of them.  The tables are approximate; the tests measure their recall against all pairs.
+Corners of several scales get an orientation from their patch's intensity centroid and a 256-bit descriptor of brightness tests on a smoothed
+patch, the test points turned to that orientation.  Descriptors meet in eight Hamming tables of 32 bits each: two that share a table's bits meet.
+A pair of images is a copy if enough of its keypoints meet, lie within ``DISTANCE`` bits and agree on one turn, scale and shift.  Links make classes.
+
+Classes don't need all pairs of a group.  First each table entry links its members to two hubs, the images of its smallest and its largest id; links
+that hold make classes.  Then, in entries where several classes are left, all pairs of different classes are tried.  No pair within a class
+could change it, so the classes are those of all pairs that meet.  Images whose keypoints are all equal are compared once, by one of them.
+The tables are approximate; the tests measure their recall against all pairs.
 """
 
 from __future__ import annotations
@@ -22,20 +24,22 @@ from pyspark.sql import types as T
 from .common import written
 from .components import connected_components
 
-RADIUS = 12
+#: Of the patch that the tests read, and of the part that gives its orientation.  A small patch has little to tell: with 12 pixels, one in a hundred
+#: pairs of keypoints of unlike images lay within ``DISTANCE``, with 24 one in twenty thousand.
+RADIUS, DISC_RADIUS = 24, 16
+#: Images below this many pixels on a side have no keypoints at a scale.
+LEAST = 12
 BINS = 32
 BITS = 256
 #: One for each half of each word, so that no part of a descriptor goes without.
 TABLES = 8
 #: Differing bits, of all 256, up to which two descriptors match.
 DISTANCE = 48
-#: Entries of so many descriptors are compared by shifts, larger ones in square blocks.
-ALL_PAIRS, BLOCK = 16, 512
 #: Matches that must agree, and how far off a place may be, in pixels of the match's scale.
 AGREE, OFF, TURN = 7, 3.0, 0.35
 SCALES = (1, 2, 4)
 #: Keypoints whose descriptors are computed at once.
-AT_ONCE = 1024
+AT_ONCE = 512
 CORNER = 1e-6
 #: Corners nearer to the border are left out; a patch that crosses it repeats the border's pixels.
 EDGE = 4
@@ -55,7 +59,7 @@ def _patterns() -> np.ndarray:
 
 
 PATTERNS = _patterns()
-DISC = np.array([(x, y) for x in range(-RADIUS, RADIUS + 1) for y in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
+DISC = np.array([(x, y) for x in range(-DISC_RADIUS, DISC_RADIUS + 1) for y in range(-DISC_RADIUS, DISC_RADIUS + 1) if x * x + y * y <= DISC_RADIUS**2])
 
 
 def _blur(x: np.ndarray, k: int = 1) -> np.ndarray:
@@ -96,11 +100,12 @@ def keypoints_of(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     of, where, words = [], [], []
     for scale in SCALES:
         n, h, w = images.shape[0], images.shape[1] // scale, images.shape[2] // scale
-        if min(h, w) <= RADIUS:
+        if min(h, w) <= LEAST:
             break
         x = images[:, : h * scale, : w * scale].reshape(n, h, scale, w, scale).mean((2, 4), dtype=np.float32)
         x = _blur(x, 1)
         i, r, c = _corners(x)
+        x = _blur(x, 2)
         # Whole numbers: sums are exact, so an image's points don't depend on what it is computed with.
         x = np.rint(x * 4095)
         x = np.pad(x, [(0, 0), (RADIUS, RADIUS), (RADIUS, RADIUS)], mode="edge")
@@ -152,68 +157,6 @@ def keypoints(images: DataFrame) -> DataFrame:
     return own.mapInArrow(_keypoints, KEYPOINTS)
 
 
-def _halves(table: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The 32 bits of each descriptor (a row of four words) that its table goes by."""
-    return (words[np.arange(len(table)), table // 2] >> (32 * (table % 2)).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-
-
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of table entries in order: the pairs of keypoints that differ in ``DISTANCE`` bits or fewer, of different images, the smaller image first.
-
-    All pairs of an entry are compared, whatever its size; those of large entries in blocks, so that memory doesn't follow their number.
-    """
-    held: list[np.ndarray] = []
-
-    def found(i, j, table, image, point, words) -> Iterator[pa.RecordBatch]:
-        off = np.zeros(len(i), np.int64)
-        for k in range(4):
-            off += np.bitwise_count(words[i, k] ^ words[j, k])
-        keep = (off <= DISTANCE) & (image[i] != image[j])
-        i, j = i[keep], j[keep]
-        # A pair that meets in several tables is given by the first of them.
-        same = (words[i] ^ words[j]).view(np.uint32) == 0  # little-endian: the lower half first
-        keep = same[:, :TABLES].argmax(1) == table[i]
-        i, j = i[keep], j[keep]
-        i, j = np.where(image[i] < image[j], i, j), np.where(image[i] < image[j], j, i)
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (image[i], point[i], image[j], point[j])], ["a", "pa", "b", "pb"])
-
-    def of(table, image, point, *words) -> Iterator[pa.RecordBatch]:
-        words = np.stack(words, 1).view(np.uint64)
-        half = _halves(table, words)
-        first = np.flatnonzero(np.concatenate([[True], (half[1:] != half[:-1]) | (table[1:] != table[:-1])]))
-        size = np.diff(np.append(first, len(table)))
-        entry = np.repeat(np.arange(len(size)), size)
-        short = np.repeat(size <= ALL_PAIRS, size)
-        for lag in range(1, min(ALL_PAIRS, int(size.max(initial=1)))):
-            i = np.flatnonzero((entry[lag:] == entry[:-lag]) & short[lag:])
-            yield from found(i, i + lag, table, image, point, words)
-        for a, n in zip(first[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
-            for x in range(a, a + n, BLOCK):
-                xs = np.arange(x, min(x + BLOCK, a + n))
-                for y in range(x, a + n, BLOCK):
-                    ys = np.arange(y, min(y + BLOCK, a + n))
-                    off = np.zeros((len(xs), len(ys)), np.uint16)
-                    for k in range(4):
-                        off += np.bitwise_count(words[xs, k][:, None] ^ words[ys, k])
-                    i, j = np.nonzero(off <= DISTANCE)
-                    i, j = xs[i], ys[j]
-                    yield from found(i[i < j], j[i < j], table, image, point, words)
-
-    for batch in batches:
-        own = [np.concatenate([*([held[k]] if held else []), batch.column(k).to_numpy()]) for k in range(7)]
-        if not len(own[0]):
-            continue
-        half = _halves(own[0], np.stack(own[3:], 1).view(np.uint64))
-        other = np.flatnonzero((half != half[-1]) | (own[0] != own[0][-1]))
-        last = int(other[-1]) + 1 if len(other) else 0  # the last entry may go on
-        if last:
-            yield from of(*[x[:last] for x in own])
-        held = [x[last:] for x in own]
-    if held and len(held[0]):
-        yield from of(*held)
-
-
 def agreeing(m: np.ndarray) -> int:
     """How many matches agree on one similarity, at best.  A row of ``m``: point, x, y, scale, angle of the one image, then of the other."""
     pa_, xa, ya, sa, ta, _, xb, yb, sb, tb = m.T
@@ -235,22 +178,48 @@ def _agreeing(lists: pd.Series) -> pd.Series:
     return pd.Series([agreeing(np.array([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in own], float)) for own in lists], dtype="int64")
 
 
-def copy_links(points: DataFrame) -> DataFrame:
-    """``a, b, agree``: pairs of images of which at least ``AGREE`` matches agree."""
-    id_ = lambda d: d.select("image_id", "point", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")
-    # An entry's key is computed from table and descriptor wherever it is needed, so no column holds it.
-    words = F.array("d0", "d1", "d2", "d3")
-    half = F.shiftrightunsigned(F.element_at(words, (F.floor(F.col("tab") / 2) + 1).cast("int")), 32).bitwiseAND(F.lit(0xFFFFFFFF))
-    half = F.when(F.col("tab") % 2 == 1, half).otherwise(F.element_at(words, (F.floor(F.col("tab") / 2) + 1).cast("int")).bitwiseAND(F.lit(0xFFFFFFFF)))
-    rows = points.select(F.explode(F.array(*[F.lit(t) for t in range(TABLES)])).alias("tab"), "image_id", "point", "d0", "d1", "d2", "d3")
-    pairs = rows.repartition("tab", half).sortWithinPartitions("tab", half).mapInArrow(_meetings, "a long, pa long, b long, pb long")
+def entries(points: DataFrame) -> DataFrame:
+    """``key, image_id, point``: each keypoint under the eight table entries of its descriptor, if another keypoint is in the entry too.
+
+    A key is a table and 32 bits of the descriptor.  Counts of keys are combined before they are dealt; the join on a key that many keypoints
+    share is one that AQE may split.
+    """
+    word = lambda t: F.col(f"d{t // 2}")
+    half = lambda t: F.shiftrightunsigned(word(t), 32) if t % 2 else word(t).bitwiseAND(F.lit(0xFFFFFFFF))
+    rows = points.select(F.explode(F.array(*[half(t).bitwiseOR(F.lit(t << 32)) for t in range(TABLES)])).alias("key"), "image_id", "point")
+    shared = written(rows.groupBy("key").count().where("count > 1").select("key"), "image-keys")
+    return rows.join(shared.hint("shuffle_hash"), "key", "left_semi")
+
+
+def hub_meetings(shared: DataFrame) -> DataFrame:
+    """``a, pa, b, pb``: meetings of each image of an entry with the images of the entry's smallest and largest id."""
+    hubs = shared.groupBy("key").agg(F.min("image_id").alias("low"), F.min_by("point", "image_id").alias("low_point"), F.max("image_id").alias("high"), F.max_by("point", "image_id").alias("high_point"))
+    hubs = written(hubs.where("low < high"), "image-hubs")
+    both = F.array(F.struct(F.col("low").alias("of"), F.col("low_point").alias("at")), F.struct(F.col("high").alias("of"), F.col("high_point").alias("at")))
+    met = shared.join(hubs.hint("shuffle_hash"), "key").select("image_id", "point", F.explode(both).alias("hub")).where("image_id <> hub.of")
+    own, hub = F.struct(F.col("image_id").alias("of"), F.col("point").alias("at")), F.col("hub")
+    return met.select(F.least(own, hub).alias("x"), F.greatest(own, hub).alias("y")).select(F.col("x.of").alias("a"), F.col("x.at").alias("pa"), F.col("y.of").alias("b"), F.col("y.at").alias("pb"))
+
+
+def class_meetings(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, pa, b, pb``: all meetings of images of different classes; ``roots`` (``node, root``) has those of several images."""
+    named = shared.join(roots, F.col("image_id") == F.col("node"), "left").select("key", "image_id", "point", F.coalesce("root", "image_id").alias("class"))
+    named = written(named, "image-classes")
+    mixed = written(named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "image-mixed")
+    left = written(named.join(mixed.hint("shuffle_hash"), "key", "left_semi"), "image-left")
+    a = left.select("key", F.col("image_id").alias("a"), F.col("point").alias("pa"), F.col("class").alias("class_a"))
+    b = left.select("key", F.col("image_id").alias("b"), F.col("point").alias("pb"), F.col("class").alias("class_b"))
+    return a.join(b, "key").where("class_a < class_b").select("a", "pa", "b", "pb")
+
+
+def agreeing_links(points: DataFrame, met: DataFrame) -> DataFrame:
+    """``a, b, agree``: pairs of images of whose meetings (``a, pa, b, pb``) at least ``AGREE`` are matches that agree."""
     # A pair of images needs so many meetings; chance ones stay below and go before anything is joined to them.
-    often = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("met")).where(F.size("met") >= AGREE)
+    often = met.groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("met")).where(F.size("met") >= AGREE)
     pairs = often.select("a", "b", F.explode("met").alias("met")).select("a", "met.pa", "b", "met.pb")
-    left = id_(points).toDF("a", "pa", "xa", "ya", "sa", "ta", "a0", "a1", "a2", "a3")
-    right = id_(points).toDF("b", "pb", "xb", "yb", "sb", "tb", "b0", "b1", "b2", "b3")
-    off = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(4)), F.lit(0))
-    same = pairs.join(left, ["a", "pa"]).join(right, ["b", "pb"]).where(off <= DISTANCE)
+    side = lambda x: points.select("image_id", "point", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3").toDF(x, f"p{x}", *[f"{c}{x}" for c in ("x", "y", "s", "t", "d0", "d1", "d2", "d3")])
+    off = sum((F.bit_count(F.col(f"d{k}a").bitwiseXOR(F.col(f"d{k}b"))) for k in range(4)), F.lit(0))
+    same = pairs.join(side("a"), ["a", "pa"]).join(side("b"), ["b", "pb"]).where(off <= DISTANCE)
     match = F.struct(*[F.col(c).cast("double").alias(c) for c in ("pa", "xa", "ya", "sa", "ta", "pb", "xb", "yb", "sb", "tb")])
     both = same.groupBy("a", "b").agg(F.collect_list(match).alias("matches")).where(F.size("matches") >= AGREE)
 
@@ -261,31 +230,39 @@ def copy_links(points: DataFrame) -> DataFrame:
     return both.select("a", "b", consensus("matches").alias("agree")).where(F.col("agree") >= AGREE)
 
 
+def copy_links(points: DataFrame) -> DataFrame:
+    """``a, b``: links between images of ``points`` that give the same classes as those of all pairs of images that meet.
+
+    Rows with a null id have no links; no points, no links.  Keypoints that repeat (an id that recurs) count once.
+    """
+    shared = written(entries(points.where("image_id IS NOT NULL")), "image-entries")
+    near = written(agreeing_links(points, hub_meetings(shared)).select("a", "b"), "image-links")
+    far = agreeing_links(points, class_meetings(shared, connected_components(near)))
+    return near.unionByName(far.select("a", "b"))
+
+
 def copy_classes(images: DataFrame) -> DataFrame:
-    """``image_id, class_id, n_keypoints, n_links`` for each row of ``images``.
+    """``image_id, class_id, n_keypoints`` for each row of ``images`` (``image_id``, ``width``, ``height``, ``pixels``; others are ignored).
 
-    The class is the smallest id that links reach, itself included; ``n_links`` counts the images that it is linked with, equal ones too.  Images without keypoints (too small, flat, null or broken) are alone in
-    theirs.  A null id has no class and no links.  Rows that repeat an id count as one image of all their keypoints.
+    The class is the smallest id that links reach, itself included.  Images without keypoints (too small, flat, null or broken) are alone in
+    theirs.  A null id has no class.  Rows that repeat an id count as one image of all their keypoints, each row with a row of its own.
+    No images: no rows.  An image of any size is taken whole.
     """
     points = written(keypoints(images), "keypoints")
     # Images of the same keypoints have the same links: only the one of the smallest id is compared, and stands for the others.
     h = [F.xxhash64(F.lit(k), *points.columns[1:]) for k in range(2)]
     sums = [F.sum(x) for y in h for x in (F.shiftrightunsigned(y, 32), y.bitwiseAND(F.lit(0xFFFFFFFF)))]
-    counts = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("point").alias("own"), F.xxhash64(*sums).alias("h0"), F.xxhash64(F.lit(1), *sums).alias("h1"))
-    alike = counts.groupBy("k", "h0", "h1").agg(F.min("image_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    counts = written(counts.join(alike, ["k", "h0", "h1"]).select("image_id", "k", (F.col("own") >= AGREE).alias("enough"), "first", "n"), "images")
+    counts = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("k"), F.max("point").alias("last"), F.xxhash64(*sums).alias("h0"), F.xxhash64(F.lit(1), *sums).alias("h1"))
+    counts = written(counts, "images")
+    alike = written(counts.groupBy("k", "h0", "h1").agg(F.min("image_id").alias("first")), "image-firsts")
+    counts = written(counts.join(alike, ["k", "h0", "h1"]).select("image_id", "k", (F.col("last") + 1 >= AGREE).alias("enough"), "first"), "images")
     links = written(copy_links(points.join(counts.where("image_id = first AND enough").select("image_id"), "image_id", "left_semi")), "image-links")
-    one = counts.where("image_id = first").select("first", "n")
-    ends = links.select(F.col("a").alias("of"), F.col("b").alias("first")).unionAll(links.select(F.col("b").alias("of"), F.col("a").alias("first")))
-    ends = ends.join(one, "first").groupBy("of").agg(F.sum("n").alias("linked"))
-    roots = connected_components(links.select("a", "b"))
+    roots = connected_components(links)
+    first = counts.select(F.col("image_id").alias("i"), "k", "enough", "first")
+    known = first.join(roots, F.col("first") == F.col("node"), "left").select("i", "k", F.when(F.col("enough"), F.coalesce("root", "first")).alias("root"))
     own = images.select(F.col("image_id").cast("long").alias("image_id"))
-    zero = F.lit(0).cast("long")
-    first = counts.select(F.col("image_id").alias("i"), "k", "enough", "first", (F.col("n") - 1).alias("alike"))
-    known = first.join(ends, F.col("first") == F.col("of"), "left").join(roots, F.col("first") == F.col("node"), "left")
-    known = known.select("i", "k", F.when(F.col("enough"), F.coalesce("root", "first")).alias("root"), F.when(F.col("enough"), F.col("alike") + F.coalesce("linked", zero)).alias("n"))
     done = own.join(known, F.col("image_id") == F.col("i"), "left")
-    return done.select("image_id", F.coalesce("root", "image_id").alias("class_id"), F.coalesce("k", zero).alias("n_keypoints"), F.coalesce("n", zero).alias("n_links"))
+    return done.select("image_id", F.coalesce("root", "image_id").alias("class_id"), F.coalesce("k", F.lit(0).cast("long")).alias("n_keypoints"))
 
 
 def rasters(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cell: int = 8) -> DataFrame:

@@ -1,8 +1,8 @@
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from loomgraph.llm import image_copies
+from loomgraph.llm.components import roots_of
 from loomgraph.llm.image_copies import AGREE, DISTANCE, agreeing, copy_classes, copy_links, keypoints, keypoints_of, rasters
 
 SCHEMA = "image_id long, width int, height int, pixels binary, class_id string"
@@ -25,7 +25,7 @@ def test_copies(spark):
     images = [(10, a), (11, a), (12, a[13:, 21:]), (13, edited), (14, patched), (15, np.rot90(a)), (16, double), (20, b), (21, b[:70, :]), (30, drawn(3)), (31, np.full((64, 64), 7, np.uint8)), (32, None), (33, drawn(4, 1, 2)), (None, a), (35, drawn(5))]
     got = {r.image_id: r for r in copy_classes(frame(spark, images)).collect()}
     assert {i: r.class_id for i, r in got.items()} == {**{i: 10 for i in range(10, 17)}, 20: 20, 21: 20, 30: 30, 31: 31, 32: 32, 33: 33, None: None, 35: 35}
-    assert got[31].n_keypoints == got[32].n_keypoints == got[30].n_links == 0 and got[10].n_links >= 4
+    assert got[31].n_keypoints == got[32].n_keypoints == 0 < got[10].n_keypoints
     assert copy_classes(frame(spark, images).where("false")).collect() == []
 
 
@@ -55,24 +55,70 @@ def brute_links(points):
     return out
 
 
-@pytest.mark.parametrize("most", [1, 16])
-def test_recall(spark, monkeypatch, most):
-    """Of the links between all pairs, the tables find nine in ten; where entries are held to be large, classes hold together all the same."""
+def classes(links, ids):
+    """The smallest id that links reach."""
+    a, b = (np.array([x[k] for x in links], np.int64) for k in range(2))
+    return {i: i for i in ids} | dict(zip(*(x.tolist() for x in roots_of(a, b)), strict=True))
+
+
+def vectors_of(spark, groups, noise):
     r = np.random.default_rng(0)
-    images, k = [], 0
-    for g in range(12):
+    rows, k = [], 0
+    for size in groups:
         base = r.normal(size=64)
-        for _ in range(1 + g % 5):
-            images.append((k, (base + 0.1 * r.normal(size=64)).tolist()))
+        for _ in range(size):
+            rows.append((k, (base + noise * r.normal(size=64)).tolist()))
             k += 1
-    vectors = spark.createDataFrame(images, "vec_id long, embedding array<double>")
-    points = keypoints(rasters(vectors)).cache()
-    want = brute_links(points.collect())
-    monkeypatch.setattr(image_copies, "ALL_PAIRS", most)
-    got = {(x.a, x.b) for x in copy_links(points).collect()}
-    assert got <= want or len(got - want) <= 1
-    if most == 16:
-        assert len(got & want) >= 0.9 * len(want)
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("groups", [[1, 2, 3, 4, 5] * 3, [60, 60, 1, 1, 30]])
+def test_recall(spark, groups):
+    """Of the images that the links between all pairs put in a class of several, nine in ten get it; no image gets another."""
+    points = keypoints(rasters(vectors_of(spark, groups, 0.1))).cache()
+    rows = points.collect()
+    ids = range(sum(groups))
+    want = classes(brute_links(rows), ids)
+    got = classes([(x.a, x.b) for x in copy_links(points).collect()], ids)
+    many = [i for i in ids if list(want.values()).count(want[i]) > 1]
+    assert len(many) >= 0.9 * sum(g for g in groups if g > 1)
+    assert sum(got[i] == want[i] for i in many) >= 0.9 * len(many)
+    group = np.repeat(np.arange(len(groups)), groups)
+    assert all(group[i] == group[c] for i, c in got.items())
+
+
+def textured(seed, size=200):
+    """Blobs of several sizes."""
+    r = np.random.default_rng(seed)
+    x = sum(r.integers(0, 256, (-(-size // c), -(-size // c))).astype(float).repeat(c, 0).repeat(c, 1)[:size, :size] * c for c in (5, 9, 17, 31))
+    return np.clip((x - x.min()) / (x.max() - x.min()) * 255, 0, 255).astype(np.uint8)
+
+
+EDITS = {
+    "crop": lambda x, r: x[r.integers(0, 40) :, r.integers(0, 40) :],
+    "narrow": lambda x, r: x[20:-20, 15:-35],
+    "brighter": lambda x, r: np.clip(x * 0.75 + 40, 0, 255).astype(np.uint8),
+    "turned": lambda x, r: np.rot90(x, int(r.integers(1, 4))),
+    "doubled": lambda x, r: x.repeat(2, 0).repeat(2, 1),
+    "halved": lambda x, r: x.reshape(100, 2, 100, 2).mean((1, 3)).astype(np.uint8),
+    "noise": lambda x, r: np.clip(x + r.normal(0, 4, x.shape), 0, 255).astype(np.uint8),
+    "patched": lambda x, r: np.where((np.add.outer(np.arange(200) // 50, np.arange(200) // 50) % 4 == 0), 0, x).astype(np.uint8),
+}
+
+
+def test_edits(spark):
+    """Of the copies by each kind of edit, nine in ten have the class of their original; unlike images none."""
+    r = np.random.default_rng(3)
+    images, of = [], {}
+    for k in range(10):
+        base = textured(k)
+        images.append((100 * k, base))
+        for n, edit in enumerate(EDITS.values(), 1):
+            images.append((100 * k + n, np.ascontiguousarray(edit(base, r))))
+    got = {x.image_id: x.class_id for x in copy_classes(frame(spark, images)).collect()}
+    share = {name: sum(got[100 * k + n] == 100 * k for k in range(10)) for n, name in enumerate(EDITS, 1)}
+    assert min(share.values()) >= 9, share
+    assert all(c // 100 == i // 100 for i, c in got.items())
 
 
 def test_scales():
@@ -80,26 +126,35 @@ def test_scales():
     assert set(where[:, 2]) >= {1, 2} and (where[of == 0] == where[of == 1]).all() and (words[of == 0] == words[of == 1]).all()
 
 
-def test_large_entries():
-    """Every pair of a large table entry within the distance meets, also where neither image is among the first."""
-    r = np.random.default_rng(4)
-    n = 700
-    words = r.integers(-(1 << 62), 1 << 62, (n, 4))
-    words[:, 0] = words[0, 0]
-    words[1::2] = words[::2]
-    words[1::2, 3] ^= (1 << DISTANCE // 2) - 1
-    columns = [np.zeros(n, np.int64), np.arange(n), np.arange(n) % 5, *words.T]
-    batches = [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[i : i + 100])) for c in columns], list("timabcd")) for i in range(0, n, 100)]
-    got = {(x["a"], x["b"]) for b in image_copies._meetings(iter(batches)) for x in b.to_pylist()}
-    assert got == {(k, k + 1) for k in range(0, n, 2)}
+def made(rng, groups, size, share):
+    """Keypoints in groups of images whose descriptors are equal, but for bits of which two images differ in ``share``."""
+    out, image = [], 0
+    for _ in range(groups):
+        words = rng.integers(-(1 << 62), 1 << 62, (12, 4))
+        for _ in range(size):
+            own = words.copy()
+            for p in range(12):
+                for bit in rng.choice(256, int(256 * share), replace=False):
+                    own[p, bit // 64] ^= np.int64(1) << np.int64(bit % 64 if bit % 64 < 63 else 62)
+            out += [(image, p, float(9 * p), float(p * p), 1.0, 0.0, *own[p].tolist()) for p in range(12)]
+            image += 1
+    return out
+
+
+def test_mixed_entries(spark):
+    """Classes in entries that hold several groups, whose hubs are of one group: all keypoints share the bits of one table."""
+    r = np.random.default_rng(6)
+    points = [(*x[:6], 7, *x[7:]) for x in made(r, 6, 15, 0.03)]
+    got = classes([(x.a, x.b) for x in copy_links(spark.createDataFrame(points, image_copies.KEYPOINTS)).collect()], range(90))
+    assert got == {i: i // 15 * 15 for i in range(90)}
 
 
 def test_equal_images(spark):
-    """Equal images count one another and all that their like is linked with; without enough keypoints they stay alone."""
-    a = drawn(1)
+    """Equal images are compared once; without enough keypoints they stay alone."""
+    a = textured(1)
     small = frame(spark, [(k, a) for k in (5, 3, 9)] + [(7, a[13:, 21:]), (8, a[13:, 21:])] + [(k, np.full((64, 64), 7, np.uint8)) for k in (1, 2)])
-    got = {r.image_id: (r.class_id, r.n_links) for r in copy_classes(small).collect()}
-    assert got == {1: (1, 0), 2: (2, 0), **{k: (3, 4) for k in (3, 5, 7, 8, 9)}}
+    got = {r.image_id: r.class_id for r in copy_classes(small).collect()}
+    assert got == {1: 1, 2: 2, **{k: 3 for k in (3, 5, 7, 8, 9)}}
 
 
 def test_whole_distance(spark):
