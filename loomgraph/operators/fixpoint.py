@@ -15,31 +15,39 @@ if TYPE_CHECKING:
     from ..graph import PropertyGraph
 
 
-def components(graph: PropertyGraph, labels: Sequence[str] = ()) -> DataFrame:
-    """``id, component``: the smallest id that undirected edges reach, for every vertex.
+def rooted(links: DataFrame) -> DataFrame:
+    """``a, b`` for each node ``a`` of ``links`` (two long columns ``a, b``, undirected) that isn't its component's smallest: ``b`` is.
 
-    Large-star and small-star steps (Kiveris et al., 2014): the rounds grow with the logarithm of a path's length, and a vertex of any
-    degree is one row a task in the aggregations.
+    Large-star and small-star steps (Kiveris et al., Connected Components in MapReduce and Beyond, 2014): the rounds grow with the logarithm of a
+    path's length.  Minima are combined map-side, so a node of any degree is one row a task there.  They are written before they are joined back:
+    both sides of the joins are then dealt as they are read, which lets AQE split the rows of a node of large degree.
     """
-    rounds = Rounds(graph.spark, "components")
-    links = labelled(graph.edges, labels).select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct()
-    now = rounds.keep(links)
+    spark = links.sparkSession
+    nows, lows, larges, leasts = (Rounds(spark, f"components-{x}") for x in ("links", "low", "large", "least"))
+    now = nows.keep(links.where("a <> b").distinct())
     while True:
         both = now.unionAll(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        now = rounds.keep(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        # Stars: every vertex hangs on one other, and on none that hangs itself.
+        low = lows.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+        large = larges.keep(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = leasts.keep(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a")
+        now = nows.keep(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        # Stars: every node hangs on one other, and on none that hangs itself.
         n, hanging = now.select(F.count(F.lit(1)), F.count_distinct("a")).first()
         if n == hanging and now.join(now.select(F.col("b").alias("r")).distinct(), F.col("a") == F.col("r"), "left_semi").isEmpty():
-            break
-    return graph.vertices.select("id").join(now, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("component"))
+            for rounds in (lows, larges, leasts):
+                rounds.drop()
+            return now
+
+
+def components(graph: PropertyGraph, labels: Sequence[str] = ()) -> DataFrame:
+    """``id, component``: the smallest id that undirected edges reach, for every vertex."""
+    roots = rooted(labelled(graph.edges, labels).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return graph.vertices.select("id").join(roots, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("component"))
 
 
 def min_label(graph: PropertyGraph, labels: Sequence[str] = (), most: int = 10_000) -> DataFrame:
-    """The same components by synchronous propagation of the smallest label; its rounds grow with the longest path."""
+    """The same components by synchronous propagation of the smallest label; its rounds grow with the longest path, and more than ``most`` fail."""
     rounds = Rounds(graph.spark, "labels")
     edges = half_edges(graph, labels, "both").persist()
     now = rounds.keep(graph.vertices.select("id", F.col("id").alias("component")))
@@ -48,9 +56,9 @@ def min_label(graph: PropertyGraph, labels: Sequence[str] = (), most: int = 10_0
         new = rounds.keep(now.join(reached, F.col("id") == F.col("at"), "left").select("id", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")))
         now = new.select("id", "component")
         if new.where("moved").isEmpty():
-            break
-    edges.unpersist()
-    return now
+            edges.unpersist()
+            return now
+    raise RuntimeError(f"labels still move after {most} rounds")
 
 
 def reachable(graph: PropertyGraph, starts: DataFrame, begin: Column | int, end: Column | int, time: str = "time", labels: Sequence[str] = (), mode: str = "exact") -> DataFrame:

@@ -35,6 +35,11 @@ class Rounds:
         self.n += 1
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self) -> None:
+        """Removes what is left, when nobody reads it any more."""
+        for n in range(max(0, self.n - 2), self.n):
+            self._drop(n)
+
     def _drop(self, n: int) -> None:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}")
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
