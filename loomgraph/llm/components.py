@@ -1,8 +1,7 @@
 """Connected components of a link table that may be far larger than one machine's memory.
 
-Alternates large-star and small-star steps (Kiveris et al., Connected Components in MapReduce and Beyond, 2014).  Only the
-smallest neighbour of a node is aggregated, map-side first, so a node of any degree costs a row a task; the join back on a node
-of large degree is a skewed join, which AQE splits.  Each round is a written table; nothing comes to the driver but a count.
+Each task first contracts its own links to a forest; the rest is the library's large-star and small-star rounds (``rooted``), each a written table.
+Nothing comes to the driver but counts.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, remove, written
+from ..operators.fixpoint import rooted
 
 #: Links that a task contracts at once before the first round.
 CHUNK = 500_000
@@ -62,27 +61,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     ``root`` is the smallest node of the component.  Links with a null end are no links.  No links: an empty table.
     """
-    spark = links.sparkSession
     a, b = links.columns
     plain = links.select(links[a].cast("long").alias("a"), links[b].cast("long").alias("b")).where("a <> b")
-    path = new_path(spark, "links")
-    now = written(plain.mapInArrow(_contract, "a long, b long"), "links", path)
-    while True:
-        # Large-star: every neighbour above a node goes to the node's smallest neighbour or the node itself.
-        both = now.select("a", "b").union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        star = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # Small-star: of each node's smaller neighbours, the others go to the smallest.
-        least = star.groupBy("a").agg(F.min("b").alias("m"))
-        small = star.join(least, "a")
-        moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after_path = new_path(spark, "links")
-        after = written(moved, "links", after_path)
-        # Done when each node hangs on one root and no root hangs on another.
-        n, ends = after.select(F.count(F.lit(1)), F.count_distinct("a")).first()
-        done = n == ends and after.join(after.select(F.col("b").alias("r")).distinct(), F.col("a") == F.col("r"), "left_semi").isEmpty()
-        remove(spark, path)
-        now, path = after, after_path
-        if done:
-            break
+    now = rooted(plain.mapInArrow(_contract, "a long, b long"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
