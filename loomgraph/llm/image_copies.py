@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,6 @@ from .components import connected_components
 #: Of the patch that the tests read, and of the part that gives its orientation.  A small patch has little to tell: with 12 pixels, one in a hundred
 #: pairs of keypoints of unlike images lay within ``DISTANCE``, with 24 one in twenty thousand.
 RADIUS, DISC_RADIUS = 24, 16
-#: Images below this many pixels on a side have no keypoints at a scale.
-LEAST = 12
 BINS = 32
 BITS = 256
 #: One for each half of each word, so that no part of a descriptor goes without.
@@ -41,8 +39,8 @@ SCALES = (1, 2, 4)
 #: Keypoints whose descriptors are computed at once.
 AT_ONCE = 512
 CORNER = 1e-6
-#: Corners nearer to the border are left out; a patch that crosses it repeats the border's pixels.
-EDGE = 4
+#: Corners nearer to the border are left out.  A patch that crosses it repeats the border's pixels, so that much of theirs would be like any other's.
+EDGE = 8
 KEYPOINTS = "image_id long, point long, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long"
 
 
@@ -100,7 +98,7 @@ def keypoints_of(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     of, where, words = [], [], []
     for scale in SCALES:
         n, h, w = images.shape[0], images.shape[1] // scale, images.shape[2] // scale
-        if min(h, w) <= LEAST:
+        if min(h, w) <= 2 * EDGE:
             break
         x = images[:, : h * scale, : w * scale].reshape(n, h, scale, w, scale).mean((2, 4), dtype=np.float32)
         x = _blur(x, 1)
@@ -201,15 +199,21 @@ def hub_meetings(shared: DataFrame) -> DataFrame:
     return met.select(F.least(own, hub).alias("x"), F.greatest(own, hub).alias("y")).select(F.col("x.of").alias("a"), F.col("x.at").alias("pa"), F.col("y.of").alias("b"), F.col("y.at").alias("pb"))
 
 
-def class_meetings(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, pa, b, pb``: all meetings of images of different classes; ``roots`` (``node, root``) has those of several images."""
+def _off(a: str, b: str) -> Column:
+    """How many bits two descriptors differ in."""
+    return sum((F.bit_count(F.col(a.format(k)).bitwiseXOR(F.col(b.format(k)))) for k in range(4)), F.lit(0))
+
+
+def class_meetings(points: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, pa, b, pb``: all meetings of images of different classes within ``DISTANCE``; ``roots`` (``node, root``) has the classes of several images."""
     named = shared.join(roots, F.col("image_id") == F.col("node"), "left").select("key", "image_id", "point", F.coalesce("root", "image_id").alias("class"))
     named = written(named, "image-classes")
     mixed = written(named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "image-mixed")
-    left = written(named.join(mixed.hint("shuffle_hash"), "key", "left_semi"), "image-left")
-    a = left.select("key", F.col("image_id").alias("a"), F.col("point").alias("pa"), F.col("class").alias("class_a"))
-    b = left.select("key", F.col("image_id").alias("b"), F.col("point").alias("pb"), F.col("class").alias("class_b"))
-    return a.join(b, "key").where("class_a < class_b").select("a", "pa", "b", "pb")
+    left = named.join(mixed.hint("shuffle_hash"), "key", "left_semi")
+    left = written(left.join(points.select("image_id", "point", "d0", "d1", "d2", "d3"), ["image_id", "point"]), "image-left")
+    side = lambda x: left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in left.columns if c != "key"])
+    near = side("a").join(side("b"), "key").where((F.col("class_a") < F.col("class_b")) & (_off("d{}_a", "d{}_b") <= DISTANCE))
+    return near.select(F.col("image_id_a").alias("a"), F.col("point_a").alias("pa"), F.col("image_id_b").alias("b"), F.col("point_b").alias("pb"))
 
 
 def agreeing_links(points: DataFrame, met: DataFrame) -> DataFrame:
@@ -218,8 +222,7 @@ def agreeing_links(points: DataFrame, met: DataFrame) -> DataFrame:
     often = met.groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("met")).where(F.size("met") >= AGREE)
     pairs = often.select("a", "b", F.explode("met").alias("met")).select("a", "met.pa", "b", "met.pb")
     side = lambda x: points.select("image_id", "point", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3").toDF(x, f"p{x}", *[f"{c}{x}" for c in ("x", "y", "s", "t", "d0", "d1", "d2", "d3")])
-    off = sum((F.bit_count(F.col(f"d{k}a").bitwiseXOR(F.col(f"d{k}b"))) for k in range(4)), F.lit(0))
-    same = pairs.join(side("a"), ["a", "pa"]).join(side("b"), ["b", "pb"]).where(off <= DISTANCE)
+    same = pairs.join(side("a"), ["a", "pa"]).join(side("b"), ["b", "pb"]).where(_off("d{}a", "d{}b") <= DISTANCE)
     match = F.struct(*[F.col(c).cast("double").alias(c) for c in ("pa", "xa", "ya", "sa", "ta", "pb", "xb", "yb", "sb", "tb")])
     both = same.groupBy("a", "b").agg(F.collect_list(match).alias("matches")).where(F.size("matches") >= AGREE)
 
@@ -237,7 +240,7 @@ def copy_links(points: DataFrame) -> DataFrame:
     """
     shared = written(entries(points.where("image_id IS NOT NULL")), "image-entries")
     near = written(agreeing_links(points, hub_meetings(shared)).select("a", "b"), "image-links")
-    far = agreeing_links(points, class_meetings(shared, connected_components(near)))
+    far = agreeing_links(points, class_meetings(points, shared, connected_components(near)))
     return near.unionByName(far.select("a", "b"))
 
 
