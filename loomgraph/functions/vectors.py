@@ -39,7 +39,10 @@ def score(a: Column, b: Column, metric: str) -> Column:
 
 
 def constant(vector: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
+    """One literal that folds to the array; a literal an element takes long to build."""
+    if not len(vector):
+        return F.array().cast("array<double>")
+    return F.split(F.lit(",".join(repr(float(x)) for x in vector)), ",").cast("array<double>")
 
 
 def mean_vector(df: DataFrame, column: str, name: str = "vec") -> DataFrame:

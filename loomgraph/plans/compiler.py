@@ -18,8 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import constant, score
 from ..operators.expand import half_edges, zero
-from ..operators.vector import above, nearest
-from ..storage import Rounds
+from ..storage import Rounds, written
 from . import steps as S
 
 VERTEX, EDGE, VALUE = "vertex", "edge", "value"
@@ -35,6 +34,8 @@ class Frame:
     root: bool = False
     effects: bool = False
     bulk: bool = False
+    #: A scan or a table, no more to compute twice than to write.
+    cheap: bool = False
 
     def column(self, name: str) -> Column:
         if name == "cur":
@@ -71,6 +72,8 @@ class Compiler:
                 frame = self.order(step, follow.n if follow else None, frame)
                 continue
             frame = getattr(self, type(step).__name__.lower())(step, frame)
+            if frame.cheap and not isinstance(step, (S.Scan, S.Has, S.HasNot, S.Tag, S.Identity, S.Union)):
+                frame = replace(frame, cheap=False)
         return frame
 
     def need(self, frame: Frame, kind: str, step: S.Step) -> None:
@@ -111,7 +114,7 @@ class Compiler:
                 df = df.join(ids, F.col("cur") == F.col("want")).drop("want")
         if step.limit is not None:
             df = df.orderBy("cur").limit(step.limit)
-        return Frame(df, kind, loaded=True)
+        return Frame(df, kind, loaded=True, cheap=step.limit is None)
 
     def midscan(self, step: S.MidScan, frame: Frame) -> Frame:
         frame = frame.bare()
@@ -227,8 +230,10 @@ class Compiler:
 
     # -- vectors
 
-    def vectors(self, name: str, frame: Frame) -> DataFrame:
-        return frame.df.join(self.graph.embedding(name).select(F.col("id").alias("v_id"), "vec"), F.col("cur") == F.col("v_id")).drop("v_id")
+    def vectors(self, name: str, frame: Frame, value: Column | None = None) -> DataFrame:
+        """The traversers with ``vec``, or with ``value``, which is computed where vectors are read, so that no vector is dealt."""
+        own = self.graph.embedding(name).select(F.col("id").alias("v_id"), "vec" if value is None else value.alias("value"))
+        return frame.df.join(own, F.col("cur") == F.col("v_id")).drop("v_id")
 
     def similarity(self, step: S.Similarity, frame: Frame) -> Frame:
         """The best score with any of the queries."""
@@ -236,7 +241,7 @@ class Compiler:
         frame = frame.bare()
         scores = [score(F.col("vec"), constant(q), step.metric) for q in step.queries]
         best = scores[0] if len(scores) == 1 else F.greatest(*scores)
-        return replace(frame, df=self.vectors(step.embedding, frame).select(best.alias("cur"), *frame.kept()), kind=VALUE)
+        return replace(frame, df=self.vectors(step.embedding, frame, best).select(F.col("value").alias("cur"), *frame.kept()), kind=VALUE)
 
     def like(self, step: S.Like, frame: Frame) -> Frame:
         """On the traversers as they come, in the order in which it is written: a test after a top-k sees its results only."""
@@ -247,15 +252,14 @@ class Compiler:
             found = self.graph.indexes[step.embedding].nearest(step.queries, step.k, step.metric)
             ids = frame.df.select(F.col("cur").alias("own")).distinct()
             return replace(frame, df=found.join(ids, F.col("id") == F.col("own"), "left_semi").select(F.col("id").alias("cur")))
-        rows = self.vectors(step.embedding, frame).withColumn("id", F.col("cur"))
-        if plain:
-            rows = rows.select("id", "vec")
-            found = nearest(rows, step.queries, step.k, step.metric) if step.k is not None else above(rows, step.queries, step.threshold, step.metric).select("id").distinct()
-            return replace(frame, df=found.select(F.col("id").alias("cur")))
         scores = F.array(*[score(F.col("vec"), constant(q), step.metric) for q in step.queries])
+        rows = self.vectors(step.embedding, frame, scores)
         if step.k is None:
-            return replace(frame, df=rows.where(F.array_max(scores) >= step.threshold).select("cur", *frame.kept()))
-        pairs = rows.select("cur", *frame.kept(), F.posexplode(scores).alias("query", "score")).where(F.col("score").isNotNull())
+            near = rows.where(F.array_max("value") >= step.threshold).select("cur", *frame.kept())
+            return replace(frame, df=near.distinct() if plain else near)
+        if not step.k or not step.queries:
+            return replace(frame, df=rows.select("cur", *frame.kept()).limit(0))
+        pairs = rows.select("cur", *frame.kept(), F.posexplode("value").alias("query", "score")).where(F.col("score").isNotNull())
         return replace(frame, df=self.first(pairs, frame, [F.desc("score"), F.col("cur"), F.col("query")], step.k).select("cur", *frame.kept()))
 
     def encode(self, step: S.Encode, frame: Frame) -> Frame:
@@ -277,7 +281,29 @@ class Compiler:
         return replace(frames[0], df=df, kind=kinds.pop() if len(kinds) == 1 else VALUE, tags=tags, keys=tuple(dict.fromkeys(k for f in frames for k in f.keys)))
 
     def union(self, step: S.Union, frame: Frame) -> Frame:
-        return self.joined([self.run(c, frame) for c in step.children])
+        return self.joined(self.branches(list(step.children), frame))
+
+    def branches(self, chains: list[S.Chain], frame: Frame) -> list[Frame]:
+        """Of each chain its frame.  What several chains would compute alike, their input and the steps that they begin with, is written once."""
+        if sum(bool(c) for c in chains) > 1 and not frame.cheap:
+            bare = frame.bare()
+            frame = replace(bare, df=written(bare.df, "branches"), cheap=True)
+        found: list[Frame | None] = [None] * len(chains)
+        for k, chain in enumerate(chains):
+            if found[k] is not None:
+                continue
+            alike = [j for j in range(k, len(chains)) if chain and chains[j][:1] == chain[:1]]
+            size = 0
+            while len(alike) > 1 and all(len(chains[j]) > size and chains[j][size] == chain[size] for j in alike):
+                size += 1
+            if size and isinstance(chain[size - 1], S.Order):
+                size -= 1  # a limit goes with its order
+            if not size or all(isinstance(s, (S.Tag, S.Identity)) for s in chain[:size]):
+                found[k] = self.run(chain, frame)
+                continue
+            for j, own in zip(alike, self.branches([chains[j][size:] for j in alike], self.run(chain[:size], frame)), strict=True):
+                found[j] = own
+        return found
 
     def repeat(self, step: S.Repeat, frame: Frame) -> Frame:
         if not step.body:
