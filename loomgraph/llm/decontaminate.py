@@ -2,17 +2,17 @@
 
 The index is dealt by document: each row is a segment of consecutive documents with, for each term, the sorted list of its
 positions (delta-coded, compressed).  No posting is shuffled, a frequent term's list is never in one place, and a segment that
-is lost with its executor is built anew from its own documents.  Test items are searched in blocks of a stated size: within a
-segment, a window's lists are intersected in order of length, rarest first, each shifted by the term's offset in the window.
+is lost with its executor is built anew from its own documents.  It is built once; test items are searched in blocks of a stated size.
+Within a segment, a window's lists are intersected in order of length, rarest first, each shifted by the term's offset in the window.
 Positions count words through the segment with a gap after each document that no window or slop bridges.
 
-As no query can look up another term, the index of a search keeps the terms of its test items only (``vocabulary=None`` keeps all).
+As no query can look up another term, the index of a search keeps the terms of its test items only, if they are at most ``VOCABULARY``; else, as
+with ``vocabulary=None``, it keeps all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,10 +27,13 @@ from .words import bounds, hashes, joined, word_counts
 WINDOW = 13
 #: Windows that are searched at once; a larger benchmark is searched in several passes, so what is sent to executors is bounded.
 BLOCK_WINDOWS = 100_000
+#: Terms that are sent to executors at once (some 20 MB); it changes the index's size, not what is found.
+VOCABULARY = 1_000_000
 SEGMENT_BYTES = 2 << 20
 GAP = 64
 INDEX = "doc_ids array<bigint>, n_words array<int>, terms array<string>, sizes array<int>, postings binary"
-MATCHES = "array<struct<item_id:bigint,start:int,n_words:int>>"
+MATCHES = "array<struct<item_id:string,start:int,n_words:int>>"
+FOUND = f"segment long, place int, doc_id long, n_words long, matches {MATCHES}"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -177,7 +180,7 @@ def windows_of(words: list[str], window: int = WINDOW) -> list[list[str]]:
     return [words[i : i + window] for i in range(max(1, len(words) - window + 1))] if words else []
 
 
-def _search(items: list[tuple[int | None, list[str]]], window: int, slop: int | None):
+def _search(items: list[tuple[str | None, list[str]]], window: int, slop: int | None):
     """For each document of each segment: its windows that match, each as item, first word and number of words."""
     terms = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in items for w in words))}
     wins = [(item, w) for item, words in items for w in windows_of(words, window)]
@@ -199,13 +202,13 @@ def _search(items: list[tuple[int | None, list[str]]], window: int, slop: int |
                     at = seg.phrase(w) if slop is None else seg.near(w, slop)
                     for d, k in zip(*seg.where(at), strict=True):
                         found[d].append({"item_id": item, "start": int(k), "n_words": len(w) if slop is None else 1})
-                yield pd.DataFrame({"doc_id": pd.array(seg.doc_ids, "Int64"), "n_words": seg.n_words, "matches": found})
+                yield pd.DataFrame({"segment": row.segment, "place": np.arange(len(found)), "doc_id": pd.array(seg.doc_ids, "Int64"), "n_words": seg.n_words, "matches": found})
             give_back()
 
     return run
 
 
-def item_blocks(items: DataFrame, window: int, most: int) -> Iterator[list[tuple[int | None, list[str]]]]:
+def item_blocks(items: DataFrame, window: int, most: int) -> Iterator[list[tuple[str | None, list[str]]]]:
     """The test items in blocks of at most ``most`` windows (one item at least), streamed to the driver."""
     block, size = [], 0
     for row in items.toLocalIterator():
@@ -225,35 +228,38 @@ def numbered_rows(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return written(docs.withColumn(row, F.monotonically_increasing_id()), tag), row
 
 
-def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block: int = BLOCK_WINDOWS, keyed: bool = False) -> DataFrame:
+def vocabulary_of(items: DataFrame) -> list[str] | None:
+    """The distinct words of ``items`` (``text``), sorted; None if there are more than ``VOCABULARY``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(set(words_of(text))), pa.string())], ["word"])
+
+    words = in_arrow(items.select("text"), run, "word string").distinct().limit(VOCABULARY + 1).collect()
+    return sorted(r.word for r in words) if len(words) <= VOCABULARY else None
+
+
+def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block: int = BLOCK_WINDOWS) -> DataFrame:
     """``doc_id, n_words, matches`` for each row of ``docs``: exact phrases, or with ``slop`` windows whose words lie that near.
 
-    ``items`` has ``item_id``, ``text``.  An item is searched as all its windows of ``window`` words, or whole if it has fewer.
-    Null or empty items match nothing.  With ``keyed``, no two rows share a ``doc_id``, and none is null.
+    ``items`` has ``item_id`` (of any type; given as text), ``text``.  An item is searched as all its windows of ``window`` words, or whole if it
+    has fewer.  Null or empty items match nothing, null or empty documents have no words.  Rows that share a ``doc_id``, or have none, are told
+    apart; texts of any length are searched whole; other columns are ignored.  No documents: no rows.  No items: no matches.
     """
     if slop is not None and slop >= GAP or window > GAP:
         raise ValueError(f"windows and slop must stay below {GAP} words")
-    plain = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text"))
-    blocks = item_blocks(plain, window, block)
-    first = next(blocks)
-    second = next(blocks, None)
-
-    def found(rows: DataFrame, own: list[tuple[int | None, list[str]]]) -> DataFrame:
-        index = written(build_index(rows, sorted({w for _, words in own for w in words})), "index")
-        return index.mapInPandas(_search(own, window, slop), f"doc_id long, n_words long, matches {MATCHES}")
-
-    if second is None:
-        return found(docs, first)
-    # Blocks are put together by row, as ids may repeat or be null.
-    rows, row = (docs, "doc_id") if keyed else numbered_rows(texts(docs), "rows")
-    own = rows.select(F.col(row).alias("doc_id"), "text")
-    whole = found(own, first)
-    for more in chain([second], blocks):
-        whole = whole.unionByName(found(own, more))
-    whole = whole.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
-    if keyed:
-        return whole
-    return whole.withColumnRenamed("doc_id", row).join(rows.select(row, "doc_id"), row).select("doc_id", "n_words", "matches")
+    plain = items.select(items["item_id"].cast("string").alias("item_id"), items["text"].cast("string").alias("text"))
+    # A segment's number is written with it, so a row of the table is the same row in every block.
+    index = written(build_index(docs, vocabulary_of(plain)).withColumn("segment", F.monotonically_increasing_id()), "index")
+    found = [index.mapInPandas(_search(own, window, slop), FOUND) for own in item_blocks(plain, window, block)]
+    if len(found) == 1:
+        return found[0].select("doc_id", "n_words", "matches")
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more.where(F.size("matches") > 0))
+    whole = whole.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    return whole.select("doc_id", "n_words", "matches")
 
 
 def hit_words(matches: Column) -> Column:
@@ -268,14 +274,14 @@ def hit_words(matches: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda acc: acc["total"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block: int = BLOCK_WINDOWS, keyed: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block: int = BLOCK_WINDOWS) -> DataFrame:
     """``doc_id, n_words, n_hit, items, contaminated`` for each row of ``docs``.
 
     Contaminated: at least one word is hit, and at least one in ``share``.  ``items`` are the ids (null ones left out), sorted as
-    strings.  A null or empty text has no words and is clean.
+    strings.  A null or empty text has no words and is clean.  Repeats, long texts and other columns as in ``search``.
     """
-    found = search(docs, items, window, None, block, keyed).withColumn("n_hit", hit_words(F.col("matches")))
-    ids = F.array_sort(F.transform(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda i: i.isNotNull())), lambda i: i.cast("string")))
+    found = search(docs, items, window, None, block).withColumn("n_hit", hit_words(F.col("matches")))
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda i: i.isNotNull())))
     return found.select("doc_id", "n_words", "n_hit", ids.alias("items"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
@@ -283,4 +289,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shar
     """The rows of ``docs`` that aren't contaminated, each by its own text, also where rows share a ``doc_id`` or have none."""
     rows, row = numbered_rows(docs, "rows")
     own = rows.select(F.col(row).alias("doc_id"), "text")
-    return without(rows, contamination(own, items, window, share, block, True).where("contaminated").select("doc_id"), row).drop(row)
+    return without(rows, contamination(own, items, window, share, block).where("contaminated").select("doc_id"), row).drop(row)
