@@ -4,9 +4,10 @@ Corners of several scales get an orientation from their patch's intensity centro
 patch, the test points turned to that orientation.  Descriptors meet in eight Hamming tables of 32 bits each: two that share a table's bits meet.
 A pair of images is a copy if enough of its keypoints meet, lie within ``DISTANCE`` bits and agree on one turn, scale and shift.  Links make classes.
 
-Classes don't need all pairs of a group.  First each table entry links its members to two hubs, the images of its smallest and its largest id; links
-that hold make classes.  Then, in entries where several classes are left, all pairs of different classes are tried.  No pair within a class
-could change it, so the classes are those of all pairs that meet.  Images whose keypoints are all equal are compared once, by one of them.
+Classes don't need all pairs of a group.  In a few rounds each table entry tries its members with two hubs, the images of its smallest and its
+largest hash in that round; links that hold make classes, and entries of one class are done.  Then, in entries where several classes are left, all
+pairs of different classes are tried.  No pair within a class could change it, so the classes are those of all pairs that meet, however few
+links the rounds have found.  Images whose keypoints are all equal are compared once, by one of them.
 The tables are approximate; the tests measure their recall against all pairs.
 """
 
@@ -34,13 +35,15 @@ TABLES = 8
 #: Differing bits, of all 256, up to which two descriptors match.
 DISTANCE = 48
 #: Matches that must agree, and how far off a place may be, in pixels of the match's scale.
-AGREE, OFF, TURN = 7, 3.0, 0.35
+AGREE, OFF, TURN = 5, 3.0, 0.35
+#: Rounds with hubs.
+ROUNDS = 3
 SCALES = (1, 2, 4)
 #: Keypoints whose descriptors are computed at once.
 AT_ONCE = 512
 CORNER = 1e-6
-#: Corners nearer to the border are left out.  A patch that crosses it repeats the border's pixels, so that much of theirs would be like any other's.
-EDGE = 8
+#: Corners nearer to the border than half a patch are left out.  A patch that crosses it repeats the border's pixels, and much of theirs would be so.
+EDGE = RADIUS // 2
 KEYPOINTS = "image_id long, point long, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long"
 
 
@@ -98,7 +101,7 @@ def keypoints_of(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     of, where, words = [], [], []
     for scale in SCALES:
         n, h, w = images.shape[0], images.shape[1] // scale, images.shape[2] // scale
-        if min(h, w) <= 2 * EDGE:
+        if min(h, w) <= 2 * EDGE + 1:
             break
         x = images[:, : h * scale, : w * scale].reshape(n, h, scale, w, scale).mean((2, 4), dtype=np.float32)
         x = _blur(x, 1)
@@ -189,14 +192,24 @@ def entries(points: DataFrame) -> DataFrame:
     return rows.join(shared.hint("shuffle_hash"), "key", "left_semi")
 
 
-def hub_meetings(shared: DataFrame) -> DataFrame:
-    """``a, pa, b, pb``: meetings of each image of an entry with the images of the entry's smallest and largest id."""
-    hubs = shared.groupBy("key").agg(F.min("image_id").alias("low"), F.min_by("point", "image_id").alias("low_point"), F.max("image_id").alias("high"), F.max_by("point", "image_id").alias("high_point"))
-    hubs = written(hubs.where("low < high"), "image-hubs")
-    both = F.array(F.struct(F.col("low").alias("of"), F.col("low_point").alias("at")), F.struct(F.col("high").alias("of"), F.col("high_point").alias("at")))
-    met = shared.join(hubs.hint("shuffle_hash"), "key").select("image_id", "point", F.explode(both).alias("hub")).where("image_id <> hub.of")
-    own, hub = F.struct(F.col("image_id").alias("of"), F.col("point").alias("at")), F.col("hub")
-    return met.select(F.least(own, hub).alias("x"), F.greatest(own, hub).alias("y")).select(F.col("x.of").alias("a"), F.col("x.at").alias("pa"), F.col("y.of").alias("b"), F.col("y.at").alias("pb"))
+def hub_meetings(rows: DataFrame, seed: int) -> DataFrame:
+    """``a, pa, b, pb``: meetings of images (``key, image_id, point, class``) with their entry's two hubs, where these are of another class."""
+    h = F.xxhash64(F.lit(seed), "image_id")
+    hub = lambda pick, name: [pick(c, h).alias(f"{name}_{c}") for c in ("image_id", "point", "class")]
+    hubs = written(rows.groupBy("key").agg(*hub(F.min_by, "low"), *hub(F.max_by, "high")).where("low_class <> high_class OR low_image_id <> high_image_id"), "image-hubs")
+    both = F.array(*[F.struct(F.col(f"{x}_image_id").alias("of"), F.col(f"{x}_point").alias("at"), F.col(f"{x}_class").alias("class")) for x in ("low", "high")])
+    met = rows.join(hubs.hint("shuffle_hash"), "key").select("image_id", "point", "class", F.explode(both).alias("hub")).where("class <> hub.class")
+    own, other = F.struct(F.col("image_id").alias("of"), F.col("point").alias("at")), F.struct("hub.of", "hub.at")
+    met = met.select(F.least(own, other).alias("x"), F.greatest(own, other).alias("y"))
+    return met.select(F.col("x.of").alias("a"), F.col("x.at").alias("pa"), F.col("y.of").alias("b"), F.col("y.at").alias("pb"))
+
+
+def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (``key, image_id, point``) with their ``class``, of those entries that still hold several; ``roots`` (``node, root``) has the classes of several images."""
+    named = rows.join(roots, F.col("image_id") == F.col("node"), "left").select("key", "image_id", "point", F.coalesce("root", "image_id").alias("class"))
+    named = written(named, "image-classes")
+    left = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    return written(named.join(written(left, "image-mixed").hint("shuffle_hash"), "key", "left_semi"), "image-left")
 
 
 def _off(a: str, b: str) -> Column:
@@ -204,13 +217,9 @@ def _off(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a.format(k)).bitwiseXOR(F.col(b.format(k)))) for k in range(4)), F.lit(0))
 
 
-def class_meetings(points: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, pa, b, pb``: all meetings of images of different classes within ``DISTANCE``; ``roots`` (``node, root``) has the classes of several images."""
-    named = shared.join(roots, F.col("image_id") == F.col("node"), "left").select("key", "image_id", "point", F.coalesce("root", "image_id").alias("class"))
-    named = written(named, "image-classes")
-    mixed = written(named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "image-mixed")
-    left = named.join(mixed.hint("shuffle_hash"), "key", "left_semi")
-    left = written(left.join(points.select("image_id", "point", "d0", "d1", "d2", "d3"), ["image_id", "point"]), "image-left")
+def class_meetings(points: DataFrame, rows: DataFrame) -> DataFrame:
+    """``a, pa, b, pb``: all meetings of images of different classes (``key, image_id, point, class``) within ``DISTANCE``."""
+    left = written(rows.join(points.select("image_id", "point", "d0", "d1", "d2", "d3"), ["image_id", "point"]), "image-words")
     side = lambda x: left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in left.columns if c != "key"])
     near = side("a").join(side("b"), "key").where((F.col("class_a") < F.col("class_b")) & (_off("d{}_a", "d{}_b") <= DISTANCE))
     return near.select(F.col("image_id_a").alias("a"), F.col("point_a").alias("pa"), F.col("image_id_b").alias("b"), F.col("point_b").alias("pb"))
@@ -238,10 +247,15 @@ def copy_links(points: DataFrame) -> DataFrame:
 
     Rows with a null id have no links; no points, no links.  Keypoints that repeat (an id that recurs) count once.
     """
-    shared = written(entries(points.where("image_id IS NOT NULL")), "image-entries")
-    near = written(agreeing_links(points, hub_meetings(shared)).select("a", "b"), "image-links")
-    far = agreeing_links(points, class_meetings(points, shared, connected_components(near)))
-    return near.unionByName(far.select("a", "b"))
+    rows = written(entries(points.where("image_id IS NOT NULL")), "image-entries").withColumn("class", F.col("image_id"))
+    links = None
+    for k in range(ROUNDS):
+        found = written(agreeing_links(points, hub_meetings(rows, k)).select("a", "b"), "image-links")
+        links = found if links is None else links.unionByName(found)
+        rows = mixed(rows.drop("class"), connected_components(links))
+        if found.isEmpty():
+            break
+    return links.unionByName(agreeing_links(points, class_meetings(points, rows)).select("a", "b"))
 
 
 def copy_classes(images: DataFrame) -> DataFrame:
