@@ -1,7 +1,7 @@
 """Connected components of a link table that may be far larger than one machine's memory.
 
-Each task first contracts its own links to a forest; the rest is the library's large-star and small-star rounds (``rooted``), each a written table.
-Nothing comes to the driver but counts.
+Each task first contracts its own links to a forest.  Where at most ``CHUNK`` links are left, one more task contracts these; else the rest is the
+library's large-star and small-star rounds (``rooted``), each a written table.  Nothing comes to the driver but counts.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.fixpoint import rooted
+from .common import written
 
-#: Links that a task contracts at once before the first round.
+#: Links that a task contracts at once (some 20 MB).
 CHUNK = 500_000
 
 
@@ -63,5 +64,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns
     plain = links.select(links[a].cast("long").alias("a"), links[b].cast("long").alias("b")).where("a <> b")
-    now = rooted(plain.mapInArrow(_contract, "a long, b long"))
+    forest = "a long, b long"
+    now = written(plain.mapInArrow(_contract, forest), "forests")
+    now = written(now.coalesce(1).mapInArrow(_contract, forest), "forests") if now.count() < CHUNK else rooted(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,7 +1,7 @@
 """Copies of images, cropped or edited, by local descriptors.
 
 Corners of several scales get an orientation from their patch's intensity centroid and a 256-bit descriptor of brightness tests on a smoothed
-patch, the test points turned to that orientation.  Descriptors meet in eight Hamming tables of 32 bits each: two that share a table's bits meet.
+patch, the test points turned to that orientation.  Descriptors meet in eight Hamming tables of 40 bits each: two that share a table's bits meet.
 A pair of images is a copy if enough of its keypoints meet, lie within ``DISTANCE`` bits and agree on one turn, scale and shift.  Links make classes.
 
 Classes don't need all pairs of a group.  In a few rounds each table entry tries its members with two hubs, the images of its smallest and its
@@ -30,12 +30,13 @@ from .components import connected_components
 RADIUS, DISC_RADIUS = 24, 16
 BINS = 32
 BITS = 256
-#: One for each half of each word, so that no part of a descriptor goes without.
-TABLES = 8
+#: One for each half of each word, so that no part of a descriptor goes without; it takes so many bits of the next half along.  With 32 bits
+#: alone, keypoints of unlike images share an entry fifteen times as often.
+TABLES, MORE_BITS = 8, 8
 #: Differing bits, of all 256, up to which two descriptors match.
 DISTANCE = 48
 #: Matches that must agree, and how far off a place may be, in pixels of the match's scale.
-AGREE, OFF, TURN = 5, 3.0, 0.35
+AGREE, OFF, TURN = 4, 3.0, 0.35
 #: Rounds with hubs.
 ROUNDS = 3
 SCALES = (1, 2, 4)
@@ -182,12 +183,13 @@ def _agreeing(lists: pd.Series) -> pd.Series:
 def entries(points: DataFrame) -> DataFrame:
     """``key, image_id, point``: each keypoint under the eight table entries of its descriptor, if another keypoint is in the entry too.
 
-    A key is a table and 32 bits of the descriptor.  Counts of keys are combined before they are dealt; the join on a key that many keypoints
+    A key is a table and 40 bits of the descriptor.  Counts of keys are combined before they are dealt; the join on a key that many keypoints
     share is one that AQE may split.
     """
     word = lambda t: F.col(f"d{t // 2}")
     half = lambda t: F.shiftrightunsigned(word(t), 32) if t % 2 else word(t).bitwiseAND(F.lit(0xFFFFFFFF))
-    rows = points.select(F.explode(F.array(*[half(t).bitwiseOR(F.lit(t << 32)) for t in range(TABLES)])).alias("key"), "image_id", "point")
+    more = lambda t: F.shiftleft(half((t + 1) % TABLES).bitwiseAND(F.lit((1 << MORE_BITS) - 1)), 32)
+    rows = points.select(F.explode(F.array(*[half(t).bitwiseOR(more(t)).bitwiseOR(F.lit(t << (32 + MORE_BITS))) for t in range(TABLES)])).alias("key"), "image_id", "point")
     shared = written(rows.groupBy("key").count().where("count > 1").select("key"), "image-keys")
     return rows.join(shared.hint("shuffle_hash"), "key", "left_semi")
 
