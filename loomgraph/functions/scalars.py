@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The day that day numbers count from (fixed value).
@@ -27,5 +29,14 @@ def first_item(values: Column) -> Column:
     return F.get(values, F.lit(0))
 
 
+def joined_texts(df: DataFrame, by: Sequence[str], text: str, order: Sequence[str], between: str = " ", name: str = "context") -> DataFrame:
+    """For each group ``by``, its texts in ``order`` as one; a null text is empty.
+
+    Equal order is decided by the text, so the result is the same each time.
+    """
+    parts = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("_text"))))
+    return df.groupBy(*by).agg(F.array_join(F.transform(parts, lambda s: s["_text"]), between).alias(name))
+
+
 def prompt(question: Column, context: Column) -> Column:
     return F.format_string("Question: Given the information below, %s\n%s\nAnswer:", question, F.coalesce(context, F.lit("")))

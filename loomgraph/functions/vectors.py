@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 METRICS = ("cosine", "dot", "l2")
 
 
-def _sum(values: Column) -> Column:
+def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
 def dot(a: Column, b: Column) -> Column:
-    return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+    return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
+    return F.sqrt(total(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
 
 
 def l2(a: Column, b: Column) -> Column:
-    return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))))
+    return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import TYPE_CHECKING, Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,7 +181,8 @@ class PropertyGraph:
             if len(src) != len(dst):
                 raise ValueError("as many destinations as sources are needed")
             n = len(src)
-            new = self.spark.createDataFrame([(first + k, int(a), int(b)) for k, (a, b) in enumerate(zip(src, dst, strict=True))], "id long, src long, dst long")
+            ends = {k: np.asarray(x, np.int64) for k, x in (("src", src), ("dst", dst))}
+            new = self.spark.createDataFrame(pa.table({"id": np.arange(first, first + n), **ends}))
         if n:
             self._bind("edges", self.edges.unionByName(new.withColumn("label", F.lit(label)), allowMissingColumns=True))
             self._next["edges"] = first + n
@@ -237,8 +240,9 @@ class PropertyGraph:
         if not isinstance(ids, DataFrame):
             if len(ids) and len(ids) != len(vectors):
                 raise ValueError("as many vectors as ids are needed")
-            rows = [(int(i), [float(x) for x in v]) for i, v in zip(ids if len(ids) else range(len(vectors)), vectors, strict=True)]
-            new = self.spark.createDataFrame(rows, "id long, vec array<float>")
+            x = np.asarray(vectors, np.float32).reshape(len(vectors), -1 if len(vectors) else 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            new = self.spark.createDataFrame(pa.table({"id": np.asarray(ids if len(ids) else range(len(x)), np.int64), "vec": lists}))
             if not len(ids):
                 self.embeddings[name] = new
                 return

@@ -1,24 +1,31 @@
 """Similarity scores, thresholds and nearest neighbours.
 
 Exact search scores every vector and keeps the best by a top-k that never sorts all.  The approximate one assigns vectors to cells of a
-k-means fitted to a bounded sample and scores only the cells nearest to a query.
+k-means fitted to a bounded sample and scores only the cells nearest to a query; with product quantisation it scores codes of a few numbers
+a vector and asks the vectors themselves only for the best of these.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.vectors import constant, score
+from ..functions.vectors import METRICS, total, constant, score
 from ..storage import written
 
 #: Vectors that an index's cells are fitted to at most, and cells at most.
 SAMPLE, MOST_CELLS = 20_000, 1024
 PROBES = 8
+#: Centres of each part of a vector that codes number, and how many times ``k`` codes are asked for their vectors.
+CENTRES, MORE = 256, 10
+#: Queries that go through the vectors together.
+QUERY_BLOCK = 1024
 
 
 def scored(vectors: DataFrame, queries: Sequence[Sequence[float]], metric: str, vec: str = "vec") -> DataFrame:
@@ -40,45 +47,144 @@ def above(vectors: DataFrame, queries: Sequence[Sequence[float]], threshold: flo
     return scored(vectors, queries, metric).where(F.col("score") >= threshold).select("id", "query", "score")
 
 
+def _scores(x: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Of each query (row) with each vector; NaN where a cosine has no value."""
+    dots = queries @ x.T
+    if metric == "dot":
+        return dots
+    squares, own = (x**2).sum(1)[None], (queries**2).sum(1)[:, None]
+    if metric == "l2":
+        return -np.sqrt(np.maximum(own + squares - 2 * dots, 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(own * squares > 0, dots / np.sqrt(own * squares), np.nan)
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", index: CellIndex | None = None, probes: int = PROBES) -> DataFrame:
+    """``query, id, score, rank``: the ``k`` best of ``vectors`` (``id, vec``) for each of ``queries`` (``id, vec``); ties by id.
+
+    Queries go through all vectors in blocks of ``QUERY_BLOCK``, so what the driver and the executors hold is bounded.  A task keeps the best ``k`` of
+    each query, and only these are dealt.  With ``index`` each query sees the vectors of its ``probes`` nearest cells.  Null vectors have no part.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"metric is one of {METRICS}")
+    rows = (index.table if index is not None else vectors).where("vec IS NOT NULL")
+    columns = ["id", "vec", "cell"] if index is not None else ["id", "vec"]
+
+    def block(ids: np.ndarray, own: np.ndarray) -> DataFrame:
+        probed = index.probed(own, probes) if index is not None and len(index.centres) else None
+
+        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if not len(frame):
+                    continue
+                x = np.array(frame["vec"].tolist(), float)
+                value = _scores(x, own, metric)
+                if probed is not None:
+                    value = np.where(probed[:, frame["cell"].to_numpy()], value, np.nan)
+                most = min(k, len(x))
+                order = np.lexsort((np.broadcast_to(frame["id"].to_numpy(), value.shape), -np.nan_to_num(value, nan=-np.inf)), axis=1)[:, :most]
+                out = pd.DataFrame({"query": np.repeat(ids, most), "id": frame["id"].to_numpy()[order].ravel(), "score": np.take_along_axis(value, order, 1).ravel()})
+                yield out[out["score"].notna()]
+
+        return rows.select(*columns).mapInPandas(best, "query long, id long, score double")
+
+    found, held = None, []
+
+    def flush() -> None:
+        nonlocal found, held
+        if held:
+            own = block(np.array([r.id for r in held], np.int64), np.array([r.vec for r in held], float))
+            found, held = own if found is None else found.unionAll(own), []
+
+    for r in queries.select("id", "vec").where("vec IS NOT NULL").toLocalIterator():
+        held.append(r)
+        if len(held) == QUERY_BLOCK:
+            flush()
+    flush()
+    if found is None or not k:
+        return vectors.sparkSession.createDataFrame([], "query long, id long, score double, rank int")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int) -> np.ndarray:
+    centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        own = _nearest_cell(x, centres)
+        size = np.bincount(own, minlength=k)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+    return centres
+
+
 @dataclass
 class CellIndex:
-    """``id, vec, cell`` of every vector, written by cell, and the cells' centres."""
+    """``id, vec, cell, norm, codes`` of every vector, written by cell; the cells' centres, and those that codes number, part by part."""
 
     table: DataFrame
     centres: np.ndarray
+    parts: list[np.ndarray]
 
     @classmethod
-    def fit(cls, vectors: DataFrame, cells: int | None = None, seed: int = 1, rounds: int = 12) -> CellIndex:
-        """4 times the root of the number of vectors is the usual number of cells.  The sample is the smallest hashes of ids."""
+    def fit(cls, vectors: DataFrame, cells: int | None = None, seed: int = 1, rounds: int = 12, parts: int = 8) -> CellIndex:
+        """4 times the root of the number of vectors is the usual number of cells.  The sample is the smallest hashes of ids; null vectors are left out."""
+        vectors = vectors.where("vec IS NOT NULL")
         n = vectors.count()
         if not n:
-            return cls(vectors.withColumn("cell", F.lit(0)), np.zeros((0, 0)))
+            return cls(vectors.select("id", "vec", F.lit(0).alias("cell")), np.zeros((0, 0)), [])
         rows = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).select("vec").collect()
         sample = np.array([r.vec for r in rows], float)
-        k = min(cells or int(4 * np.sqrt(n)), MOST_CELLS, max(1, len(sample) // 4))
-        centres = sample[np.random.default_rng(seed).choice(len(sample), k, replace=False)]
-        for _ in range(rounds):
-            own = _nearest_cell(sample, centres)
-            size = np.bincount(own, minlength=k)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, own, sample)
-            centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
-
-        def assign(batches):
+        centres = _kmeans(sample, min(cells or int(4 * np.sqrt(n)), MOST_CELLS, max(1, len(sample) // 4)), seed, rounds)
+        cut = np.array_split(np.arange(sample.shape[1]), min(parts, sample.shape[1]))
+        numbered = [_kmeans(sample[:, c], min(CENTRES, len(sample)), seed + 1 + j, rounds) for j, c in enumerate(cut)]
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 x = np.array(batch["vec"].tolist(), float).reshape(len(batch), -1)
-                yield batch.assign(cell=_nearest_cell(x, centres) if len(batch) else [])
+                if len(batch):
+                    codes = np.stack([_nearest_cell(x[:, c], own) + j * CENTRES for j, (c, own) in enumerate(zip(cut, numbered, strict=True))], 1)
+                    yield batch.assign(cell=_nearest_cell(x, centres), norm=np.sqrt((x**2).sum(1)), codes=list(codes))
 
-        placed = vectors.select("id", "vec").mapInPandas(assign, "id long, vec array<float>, cell int")
-        return cls(written(placed.repartition("cell").sortWithinPartitions("cell"), "cells"), centres)
+        placed = vectors.select("id", "vec").mapInPandas(assign, "id long, vec array<float>, cell int, norm double, codes array<int>")
+        return cls(written(placed.repartition("cell").sortWithinPartitions("cell"), "cells"), centres, numbered)
+
+    def probed(self, queries: np.ndarray, probes: int) -> np.ndarray:
+        """For each query, which cells are its nearest."""
+        gone = ((queries[:, None] - self.centres[None]) ** 2).sum(2)
+        out = np.zeros(gone.shape, bool)
+        np.put_along_axis(out, np.argsort(gone, axis=1, kind="stable")[:, :probes], True, 1)
+        return out
 
     def nearest(self, queries: Sequence[Sequence[float]], k: int, metric: str = "cosine", probes: int = PROBES) -> DataFrame:
         """As ``nearest``, of vectors in the ``probes`` cells nearest to each query; the cell filter reaches the scan."""
+        return nearest(self._probed_rows(queries, probes).select("id", "vec"), queries, k, metric)
+
+    def _probed_rows(self, queries: Sequence[Sequence[float]], probes: int) -> DataFrame:
         if not len(self.centres):
-            return nearest(self.table.select("id", "vec"), queries, k, metric)
-        gone = ((np.array(queries, float)[:, None] - self.centres[None]) ** 2).sum(2)
-        cells = sorted({int(c) for row in gone for c in np.argsort(row, kind="stable")[:probes]})
-        return nearest(self.table.where(F.col("cell").isin(cells)).select("id", "vec"), queries, k, metric)
+            return self.table
+        cells = np.flatnonzero(self.probed(np.array(queries, float), probes).any(0))
+        return self.table.where(F.col("cell").isin(cells.tolist()))
+
+    def nearest_by_codes(self, queries: Sequence[Sequence[float]], k: int, metric: str = "cosine", probes: int = PROBES, more: int = MORE) -> DataFrame:
+        """As ``nearest``, by product quantisation: codes are scored from tables of each query's products with the centres, and the best
+        ``more * k`` of all are scored again by their vectors.  Vectors are read for these only."""
+        rows = self._probed_rows(queries, probes)
+        if not len(self.centres) or not k or not queries:
+            return nearest(rows.select("id", "vec"), queries, k, metric)
+        scores = []
+        for q in np.array(queries, float):
+            cut = np.array_split(np.arange(len(q)), len(self.parts))
+            products = np.zeros((len(cut), CENTRES))
+            for j, (c, own) in enumerate(zip(cut, self.parts, strict=True)):
+                products[j, : len(own)] = own @ q[c]
+            table = constant(products.ravel())
+            product = total(F.transform("codes", lambda c: F.element_at(table, c + 1)))  # noqa: B023
+            size = float(np.sqrt((q**2).sum()))
+            scores.append({"dot": product, "cosine": product / F.nullif(F.col("norm") * size, F.lit(0.0)), "l2": 2 * product - F.col("norm") * F.col("norm")}[metric])
+        best = rows.select("id", F.posexplode(F.array(*scores)).alias("query", "near")).where(F.col("near").isNotNull()).orderBy(F.desc("near"), "id", "query").limit(more * k)
+        # At most more * k ids: a bounded side.
+        return nearest(rows.join(F.broadcast(best.select("id").distinct()), "id", "left_semi").select("id", "vec"), queries, k, metric)
 
 
 def _nearest_cell(x: np.ndarray, centres: np.ndarray) -> np.ndarray:

@@ -36,6 +36,8 @@ class Frame:
     bulk: bool = False
     #: A scan or a table, no more to compute twice than to write.
     cheap: bool = False
+    #: With ``path``: where the traverser has been, edges as the complement of their id.
+    path: bool = False
 
     def column(self, name: str) -> Column:
         if name == "cur":
@@ -47,8 +49,8 @@ class Frame:
         raise ValueError(f"no tag or saved value {name!r}")
 
     def kept(self) -> list[str]:
-        """Columns that go along: the root, tags, saved values."""
-        return [*["root"] * self.root, *(f"t_{t}" for t in self.tags), *(f"m_{k}" for k in self.keys)]
+        """Columns that go along: the root, the path, tags, saved values."""
+        return [*["root"] * self.root, *["path"] * self.path, *(f"t_{t}" for t in self.tags), *(f"m_{k}" for k in self.keys)]
 
     def bare(self) -> Frame:
         """Without the element's columns."""
@@ -57,7 +59,7 @@ class Frame:
 
 class Compiler:
     def __init__(self, graph: Any, traversal: Any):
-        self.graph, self.traversal, self.effects = graph, traversal, False
+        self.graph, self.traversal, self.effects, self.tracks = graph, traversal, False, False
 
     # -- chains
 
@@ -71,11 +73,18 @@ class Compiler:
                 follow = chain[k + 1] if k + 1 < len(chain) and isinstance(chain[k + 1], S.Limit) else None
                 frame = self.order(step, follow.n if follow else None, frame)
                 continue
-            frame = getattr(self, type(step).__name__.lower())(step, frame)
+            frame = getattr(self, {"Is": "is_"}.get(type(step).__name__, type(step).__name__.lower()))(step, frame)
+            if self.tracks and isinstance(step, (S.Scan, S.MidScan, S.Expand, S.Ends)) and not frame.root:
+                frame = self.moved(frame)
             if frame.cheap and not isinstance(step, (S.Scan, S.Has, S.HasNot, S.Tag, S.Identity, S.Union)):
                 frame = replace(frame, cheap=False)
         return frame
 
+    def moved(self, frame: Frame) -> Frame:
+        """The path with the current element at its end."""
+        here = F.array(F.col("cur") if frame.kind == VERTEX else F.bitwise_not("cur"))
+        return replace(frame, df=frame.df.withColumn("path", F.concat("path", here) if frame.path else here), path=True)
+
     def need(self, frame: Frame, kind: str, step: S.Step) -> None:
         if frame.kind != kind:
             raise ValueError(f"{type(step).__name__} needs {kind}s, not {frame.kind}s")
@@ -112,9 +121,11 @@ class Compiler:
             else:
                 ids = self.graph.spark.createDataFrame([(i,) for i in step.ids], "want long")
                 df = df.join(ids, F.col("cur") == F.col("want")).drop("want")
+        if step.table is not None:
+            df = df.join(step.table.select(F.col("want").cast("long").alias("want")), F.col("cur") == F.col("want")).drop("want")
         if step.limit is not None:
             df = df.orderBy("cur").limit(step.limit)
-        return Frame(df, kind, loaded=True, cheap=step.limit is None)
+        return Frame(df, kind, loaded=True, cheap=step.limit is None and step.table is None)
 
     def midscan(self, step: S.MidScan, frame: Frame) -> Frame:
         frame = frame.bare()
@@ -146,6 +157,14 @@ class Compiler:
         ids = inner.df.select(F.col("root").alias("hit")).distinct()
         return replace(frame, df=frame.df.join(ids, on == F.col("hit"), "left_anti" if step.negate else "left_semi"))
 
+    def is_(self, step: S.Is, frame: Frame) -> Frame:
+        return replace(frame, df=frame.df.where(step.test(F.col("cur"))))
+
+    def simplepath(self, step: S.SimplePath, frame: Frame) -> Frame:
+        if not frame.path:
+            raise ValueError("simplePath() has no place in a child of filter(), by() or property()")
+        return replace(frame, df=frame.df.where(F.size(F.array_distinct("path")) == F.size("path")))
+
     def dedup(self, step: S.Dedup, frame: Frame) -> Frame:
         frame = frame.bare()
         by = ["root", "cur"] if frame.root else ["cur"]
@@ -228,6 +247,48 @@ class Compiler:
         frame = frame.bare()
         return replace(frame, df=frame.df.withColumn("cur", F.lit(step.value)), kind=VALUE)
 
+    def mapto(self, step: S.MapTo, frame: Frame) -> Frame:
+        frame = self.scalar(step.child, frame, "value")
+        return replace(frame, df=frame.df.where(F.col("value").isNotNull()).select(F.col("value").alias("cur"), *frame.kept()), kind=VALUE)
+
+    def project(self, step: S.Project, frame: Frame) -> Frame:
+        if len(step.names) != len(step.children):
+            raise ValueError("a by() for each name is needed")
+        frame = frame.bare()
+        for k, child in enumerate(step.children):
+            frame = self.scalar(child, frame, f"p_{k}")
+        record = F.struct(*[F.col(f"p_{k}").alias(n) for k, n in enumerate(step.names)])
+        return replace(frame, df=frame.df.select(record.alias("cur"), *frame.kept()), kind=VALUE)
+
+    def valuemap(self, step: S.ValueMap, frame: Frame) -> Frame:
+        keys = step.keys or (self.graph.vertex_property_names() if frame.kind == VERTEX else self.graph.edge_property_names())
+        for k in keys:
+            self.known(frame.kind, k)
+        frame = self.load(frame)
+        record = F.struct(*[F.col(f"e_{k}").alias(k) for k in keys])
+        return replace(frame, df=frame.df.select(record.alias("cur"), *frame.kept()), kind=VALUE, loaded=False)
+
+    def unfold(self, step: S.Unfold, frame: Frame) -> Frame:
+        self.need(frame, VALUE, step)
+        entries = F.map_entries("cur") if frame.df.schema["cur"].dataType.typeName() == "map" else F.col("cur")
+        return replace(frame, df=frame.df.select(F.explode(entries).alias("cur"), *frame.kept()))
+
+    def group(self, step: S.Group, frame: Frame) -> Frame:
+        if step.key is None:
+            raise ValueError("group() needs a by()")
+        frame = frame.bare()
+        if frame.root:
+            raise ValueError("group() has no place in a child")
+        own = self.scalar(step.key, frame, "key").df.select("cur", F.col("key").alias("root"))
+        if step.grouped is None:
+            done = own.groupBy("root").agg(F.array_sort(F.collect_list("cur")).alias("cur"))
+        else:
+            # The key is the root that the child is reduced by, so it sees all traversers of a key, equal ones as often as they come.
+            done = self.run(step.grouped, Frame(own, frame.kind, root=True)).bare().df
+            if not isinstance(step.grouped[-1], S.Reduce):
+                done = done.groupBy("root").agg(F.array_sort(F.collect_list("cur")).alias("cur"))
+        return Frame(done.select(F.struct(F.col("root").alias("key"), F.col("cur").alias("value")).alias("cur")), VALUE)
+
     # -- vectors
 
     def vectors(self, name: str, frame: Frame, value: Column | None = None) -> DataFrame:
@@ -345,7 +406,7 @@ class Compiler:
             frame.column(c[2:])
         root = F.struct("cur", *need) if need else F.col("cur")
         own = frame.df.select("cur", *need).distinct().withColumn("root", root)
-        inner = Frame(own, frame.kind, {t: frame.tags[t] for t in sorted(S.selected(child))}, tuple(sorted(S.saved(child))), root=True)
+        inner = Frame(own, frame.kind, {t: frame.tags[t] for t in sorted(S.selected(child))}, tuple(sorted(S.saved(child))), root=True, cheap=frame.cheap)
         return self.run(child, inner).bare(), root
 
     def scalar(self, child: S.Chain, frame: Frame, name: str) -> Frame:
@@ -428,6 +489,14 @@ class Compiler:
         setter(step.key, own.df.where(F.col("value").isNotNull()).select("cur", "value"), dtype=step.dtype)
         return replace(frame, effects=True)
 
+    def dropproperty(self, step: S.DropProperty, frame: Frame) -> Frame:
+        self.known(frame.kind, step.key)
+        frame = frame.bare()
+        setter = self.graph.set_vertex_properties if frame.kind == VERTEX else self.graph.set_edge_properties
+        kind = self.table(frame.kind).schema[step.key].dataType
+        setter(step.key, frame.df.select("cur", F.lit(None).cast(kind).alias("value")))
+        return replace(frame, effects=True)
+
     def addvertex(self, step: S.AddVertex, frame: Frame | None) -> Frame:
         if frame is not None:
             raise ValueError("addV() begins a chain")
@@ -452,4 +521,6 @@ class Compiler:
 
 
 def compiled(graph: Any, chain: S.Chain, traversal: Any) -> Frame:
-    return Compiler(graph, traversal).run(chain, None)
+    own = Compiler(graph, traversal)
+    own.tracks = S.tracks(chain)
+    return own.run(chain, None)

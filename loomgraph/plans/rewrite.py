@@ -17,7 +17,7 @@ def _children(step: Step, change: Callable[[Chain], Chain]) -> Step:
     new = {}
     for f in fields(step):
         v = getattr(step, f.name)
-        if isinstance(v, tuple) and v and f.name != "hops":
+        if isinstance(v, tuple) and v and f.name not in ("hops", "grouped"):
             if all(isinstance(x, Step) for x in v):
                 new[f.name] = change(v)
             elif f.name == "children":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 from typing import Any
 
 from ..functions.predicates import P
@@ -25,12 +25,13 @@ class Step:
 
 @dataclass(frozen=True)
 class Scan(Step):
-    """All vertices or edges, or those of the ids (repeats stay); ``tests`` and ``limit`` are put in by rewrites."""
+    """All vertices or edges, or those of the ids (repeats stay) or of a table of ids; ``tests`` and ``limit`` are put in by rewrites."""
 
     what: str
     ids: tuple[int, ...] | None = None
     tests: tuple[Step, ...] = ()
     limit: int | None = None
+    table: Any = field(default=None, compare=False)
 
 
 @dataclass(frozen=True)
@@ -155,11 +156,58 @@ class FilterChild(Step):
     negate: bool = False
 
 
+@dataclass(frozen=True)
+class Is(Step):
+    """A test of the current value itself."""
+
+    test: P
+
+
+@dataclass(frozen=True)
+class SimplePath(Step):
+    """Only traversers that have been nowhere twice."""
+
+
 @dataclass(frozen=True)
 class Dedup(Step):
     pass
 
 
+@dataclass(frozen=True)
+class MapTo(Step):
+    """A child's value in place of the traverser; none, no traverser."""
+
+    child: Chain
+
+
+@dataclass(frozen=True)
+class Project(Step):
+    """A record of children's values."""
+
+    names: tuple[str, ...]
+    children: tuple[Chain, ...] = ()
+
+
+@dataclass(frozen=True)
+class ValueMap(Step):
+    """A record of properties; no keys: of all."""
+
+    keys: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Unfold(Step):
+    pass
+
+
+@dataclass(frozen=True)
+class Group(Step):
+    """Records of ``key`` and ``value``: what ``grouped`` makes of all traversers of a key together, or the sorted list of them."""
+
+    key: Chain | None = None
+    grouped: Chain | None = None
+
+
 @dataclass(frozen=True)
 class Union(Step):
     children: tuple[Chain, ...]
@@ -225,6 +273,11 @@ class SetProperty(Step):
     dtype: str | None = None
 
 
+@dataclass(frozen=True)
+class DropProperty(Step):
+    key: str
+
+
 @dataclass(frozen=True)
 class AddVertex(Step):
     label: str = ""
@@ -237,7 +290,7 @@ class AddEdge(Step):
     dst: Any = None
 
 
-MUTATING = (SetProperty, AddVertex, AddEdge)
+MUTATING = (SetProperty, DropProperty, AddVertex, AddEdge)
 
 
 def inner(step: Step) -> list[Chain]:
@@ -253,6 +306,11 @@ def inner(step: Step) -> list[Chain]:
     return out
 
 
+def tracks(chain: Chain) -> bool:
+    """Whether a step of the chain or of its children asks where traversers have been."""
+    return any(isinstance(s, SimplePath) or any(map(tracks, inner(s))) for s in chain)
+
+
 def selected(chain: Chain) -> set[str]:
     """Tags that a child reads but doesn't set itself first."""
     found, own = set(), set()

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from . import P, PropertyGraph
 from . import anon as __
+from .functions.scalars import joined_texts
 from .functions.vectors import l2, mean_vector
 from .operators.expand import degree
 from .operators.fixpoint import components, reachable
 from .operators.subgraph import coo
-from .operators.vector import nearest
 from .sources.readers import exploded_sentences, sentence_offsets
 from .sources.star import EDGES, LINES, TURNS, VERTICES, conversations, star
 
@@ -28,7 +28,7 @@ E = {k: n << 58 for k, n in EDGES.items()}
 
 _LINES = f"SELECT *, l_orderkey * {LINES} + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS line FROM lineitem"
 CTE = f"""
-v AS (
+v AS MATERIALIZED (
   SELECT {V['region']} + r_regionkey AS id, 'region' AS label, r_name AS name, NULL::DOUBLE AS acctbal, NULL AS segment, NULL::DOUBLE AS price, NULL::INT AS size FROM region
   UNION ALL SELECT {V['nation']} + n_nationkey, 'nation', n_name, NULL, NULL, NULL, NULL FROM nation
   UNION ALL SELECT {V['customer']} + c_custkey, 'customer', c_name, c_acctbal, c_mktsegment, NULL, NULL FROM customer
@@ -36,7 +36,7 @@ v AS (
   UNION ALL SELECT {V['part']} + p_partkey, 'part', p_name, NULL, NULL, p_retailprice, p_size FROM part
   UNION ALL SELECT {V['order']} + o_orderkey, 'order', NULL, NULL, NULL, o_totalprice, NULL FROM orders),
 l AS ({_LINES}),
-e AS (
+e AS MATERIALIZED (
   SELECT {E['in_region']} + n_nationkey AS id, {V['nation']} + n_nationkey AS src, {V['region']} + n_regionkey AS dst, 'in_region' AS label, NULL::DOUBLE AS quantity, NULL::TIMESTAMP AS time FROM nation
   UNION ALL SELECT {E['customer_in']} + c_custkey, {V['customer']} + c_custkey, {V['nation']} + c_nationkey, 'in_nation', NULL, NULL FROM customer
   UNION ALL SELECT {E['supplier_in']} + s_suppkey, {V['supplier']} + s_suppkey, {V['nation']} + s_nationkey, 'in_nation', NULL, NULL FROM supplier
@@ -132,11 +132,11 @@ walk("two_hop_count", "SELECT count(*) AS cur FROM e a JOIN e b ON a.dst = b.src
 walk("three_hop_bulk", "SELECT count(*) AS cur FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.dst WHERE a.label = 'placed' AND b.label = 'contains' AND c.label = 'contains'", lambda g: g.V().hasLabel("customer").out("placed").out("contains").in_("contains").count())
 
 # Tags, unions, repeats
-walk("as_select_path", "SELECT b.dst AS cur, a.src AS c, a.dst AS o FROM e a JOIN e b ON a.dst = b.src JOIN v ON v.id = a.src WHERE a.label = 'placed' AND b.label = 'contains' AND acctbal > 9900", lambda g: g.V().hasLabel("customer").has("acctbal", P.gt(9900)).as_("c").out("placed").as_("o").out("contains"), {"cur": "cur", "c": "c", "o": "o"})
+walk("as_select_path", "+ a AS MATERIALIZED (SELECT src, dst FROM e WHERE label = 'placed' AND src IN (SELECT id FROM v WHERE acctbal > 9900)), b AS MATERIALIZED (SELECT src, dst FROM e WHERE label = 'contains')\nSELECT b.dst AS cur, a.src AS c, a.dst AS o FROM a JOIN b ON a.dst = b.src", lambda g: g.V().hasLabel("customer").has("acctbal", P.gt(9900)).as_("c").out("placed").as_("o").out("contains"), {"cur": "cur", "c": "c", "o": "o"})
 walk("select_tags", "SELECT a.src AS cur FROM e a WHERE a.label = 'placed'", lambda g: g.V().hasLabel("customer").as_("c").out("placed").select("c"))
 walk("union_branches", "SELECT dst AS cur FROM e JOIN v ON src = v.id WHERE v.label = 'nation' UNION ALL SELECT src FROM e JOIN v ON dst = v.id WHERE v.label = 'nation' AND e.label = 'in_nation' UNION ALL SELECT id FROM v WHERE label = 'nation'", lambda g: g.V().hasLabel("nation").union([__().out(), __().in_("in_nation"), __().identity()]))
 walk("union_then_select", "SELECT DISTINCT x AS cur FROM (SELECT dst AS x FROM e JOIN v ON src = v.id WHERE v.label = 'nation' UNION ALL SELECT src FROM e JOIN v ON dst = v.id WHERE v.label = 'nation' UNION ALL SELECT id FROM v WHERE label = 'nation')", lambda g: g.V().hasLabel("nation").as_("s").union([__().out().as_("h"), __().in_().as_("h")]).union([__().select("h"), __().select("s")]).dedup())
-walk("repeat_times2", "SELECT b.dst AS cur FROM e a JOIN e b ON a.dst = b.src JOIN v ON v.id = a.src WHERE v.label = 'customer'", lambda g: g.V().hasLabel("customer").repeat(__().out()).times(2))
+walk("repeat_times2", "+ a AS MATERIALIZED (SELECT dst FROM e WHERE src IN (SELECT id FROM v WHERE label = 'customer'))\nSELECT e.dst AS cur FROM a JOIN e ON a.dst = e.src", lambda g: g.V().hasLabel("customer").repeat(__().out()).times(2))
 walk("repeat_emit", "SELECT id AS cur FROM v WHERE label = 'supplier' UNION ALL SELECT dst FROM e JOIN v ON src = v.id WHERE v.label = 'supplier' UNION ALL SELECT b.dst FROM e a JOIN e b ON a.dst = b.src JOIN v ON v.id = a.src WHERE v.label = 'supplier'", lambda g: g.V().hasLabel("supplier").emit(__().identity()).repeat(__().out()).times(2))
 walk("dedup_out", "SELECT DISTINCT dst AS cur FROM e WHERE label = 'contains' AND quantity > 45", lambda g: g.E().hasLabel("contains").has("quantity", P.gt(45)).inV().dedup())
 walk("dedup_tags", "SELECT dst AS cur, min(src) AS o FROM e WHERE label = 'contains' GROUP BY dst", lambda g: g.V().hasLabel("order").as_("o").out("contains").dedup(), {"cur": "cur", "o": "o"})
@@ -205,9 +205,18 @@ _degree("degree_out", "customer", ("placed",), "out", "SELECT v.id, count(e.id)
 _degree("degree_in", "part", (), "in", "SELECT v.id, count(e.id) AS degree FROM v LEFT JOIN e ON dst = v.id WHERE v.label = 'part' GROUP BY v.id")
 _degree("degree_both", "nation", (), "both", "SELECT v.id, count(x.id) AS degree FROM v LEFT JOIN (SELECT id, src AS at FROM e UNION ALL SELECT id, dst FROM e) x ON x.at = v.id WHERE v.label = 'nation' GROUP BY v.id")
 
-FLAGSHIP = "SELECT c.dst AS cur FROM (SELECT v.id FROM v LEFT JOIN e ON dst = v.id AND e.label = 'contains' WHERE v.label = 'part' AND v.size >= 10 AND v.price >= 950 GROUP BY v.id ORDER BY count(e.id), v.id LIMIT 500) p JOIN e a ON a.dst = p.id AND a.label = 'contains' JOIN e c ON c.src = a.src AND c.label = 'filled_by'"
+FLAGSHIP = """+
+n AS MATERIALIZED (SELECT dst, count(*) AS n FROM e WHERE label = 'contains' GROUP BY dst),
+p AS MATERIALIZED (SELECT v.id FROM v LEFT JOIN n ON n.dst = v.id WHERE v.label = 'part' AND v.size >= 10 AND v.price >= 950 ORDER BY coalesce(n, 0), v.id LIMIT 500),
+a AS MATERIALIZED (SELECT e.src FROM e JOIN p ON e.dst = p.id WHERE e.label = 'contains'),
+c AS MATERIALIZED (SELECT src, dst FROM e WHERE label = 'filled_by')
+SELECT c.dst AS cur FROM a JOIN c ON c.src = a.src"""
 walk("filter_degree_expand", FLAGSHIP, lambda g: g.V().hasLabel("part").has("size", P.gte(10)).has("price", P.gte(950)).order().by(__().in_("contains").count()).limit(500).in_("contains").out("filled_by"))
-walk("filter_order_repeat", "SELECT b.dst AS cur FROM (SELECT v.id FROM v LEFT JOIN e ON src = v.id WHERE v.label = 'customer' AND acctbal >= 1000 GROUP BY v.id ORDER BY count(e.id), v.id LIMIT 200) p JOIN e a ON a.src = p.id JOIN e b ON b.src = a.dst", lambda g: g.V().hasLabel("customer").has("acctbal", P.gte(1000)).order().by(__().out().count()).limit(200).repeat(__().out()).times(2))
+walk("filter_order_repeat", """+
+n AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY src),
+p AS MATERIALIZED (SELECT v.id FROM v LEFT JOIN n ON n.src = v.id WHERE v.label = 'customer' AND acctbal >= 1000 ORDER BY coalesce(n, 0), v.id LIMIT 200),
+a AS MATERIALIZED (SELECT e.dst FROM e JOIN p ON e.src = p.id)
+SELECT e.dst AS cur FROM a JOIN e ON e.src = a.dst""", lambda g: g.V().hasLabel("customer").has("acctbal", P.gte(1000)).order().by(__().out().count()).limit(200).repeat(__().out()).times(2))
 
 
 # Vectors
@@ -263,11 +272,12 @@ def encode_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.posexplode("vec").alias("place", "x")).select(F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
-@query("encode_distance", "+ m AS (SELECT i, avg(x) FILTER (k < 50) AS a, avg(x) FILTER (k >= 50) AS b FROM (SELECT vec_id AS k, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 100) GROUP BY i)\nSELECT round(sqrt(sum((a - b) * (a - b))), 6) AS distance FROM m")
+@query("encode_distance", "+ m AS (SELECT i, avg(x) FILTER (segment = 'BUILDING') AS a, avg(x) FILTER (segment <> 'BUILDING') AS b FROM (SELECT segment, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings JOIN v ON v.id = vec_id + " + str(V["customer"]) + ") GROUP BY i)\nSELECT round(sqrt(sum((a - b) * (a - b))), 6) AS distance FROM m")
 def encode_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between the means of two groups that have all vectors between them."""
     g = graph_of(spark, sf_dir).traversal()
-    mean = lambda lo, hi, name: mean_vector(g.V().has("id", P.gte(V["customer"] + lo)).has("id", P.lt(V["customer"] + hi)).encode("emb").toDF(), "cur", name)
-    return mean(0, 50, "a").crossJoin(mean(50, 100, "b")).select(F.round(l2(F.col("a"), F.col("b")), 6).alias("distance"))
+    mean = lambda test, name: mean_vector(g.V().has("segment", test).encode("emb").toDF(), "cur", name)
+    return mean(P.eq("BUILDING"), "a").crossJoin(mean(P.neq("BUILDING"), "b")).select(F.round(l2(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
 # Subgraphs
@@ -292,10 +302,12 @@ def subgraph_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coo(*_rich(spark, sf_dir))[1]
 
 
-@query("subgraph_graph", _COO + "SELECT count(*) AS cur FROM g")
+@query("subgraph_graph", _COO + "SELECT 'vertex' AS what, place AS id, '' AS label, vid AS original_id FROM p UNION ALL SELECT 'edge', row_number() OVER (ORDER BY id) - 1, 'retrieved_edge', id FROM g")
 def subgraph_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, edges = _rich(spark, sf_dir)
-    return graph.subgraph(edges).traversal().E().hasLabel("retrieved_edge").count().toDF()
+    own = graph.subgraph(edges)
+    parts = [df.select(F.lit(what).alias("what"), "id", "label", "original_id") for what, df in (("vertex", own.vertices), ("edge", own.edges))]
+    return parts[0].unionByName(parts[1])
 
 
 # Fixed points
@@ -359,30 +371,30 @@ def upsert_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.vertices.where("label = 'customer'").select("id", "acctbal")
 
 
-@query("scatter_embeddings", f"SELECT v.id, coalesce(round(x.embedding[1]::DOUBLE, 6), -1) AS first FROM v LEFT JOIN (SELECT * FROM embeddings WHERE vec_id < 100) x ON v.id = {V['customer']} + x.vec_id WHERE v.label = 'customer'")
+@query("scatter_embeddings", f"SELECT v.id, coalesce(round(x.embedding[1]::DOUBLE, 6), -1) AS first FROM v LEFT JOIN embeddings x ON v.id = {V['customer']} + x.vec_id AND v.segment = 'BUILDING' WHERE v.label = 'customer'")
 def scatter_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors for the customers of one segment; all others get the default."""
     graph = star(spark, sf_dir)
     graph.vertices = graph.vertices.where("label = 'customer'")
-    new = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 100")
-    graph.set_vertex_embeddings("new", new.select((F.lit(V["customer"]) + F.col("vec_id")).alias("id"), F.col("embedding").alias("vec")), default=-1.0)
+    own = graph.traversal().V().has("segment", "BUILDING").toDF()
+    graph.set_vertex_embeddings("new", graph.embedding("emb").join(own, F.col("id") == F.col("cur"), "left_semi"), default=-1.0)
     return graph.embedding("new").select("id", F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
 
 
-@query("added_edges", "SELECT count(*) + 3 AS cur FROM e WHERE label = 'in_region'")
+@query("added_edges", f"""+ top AS (SELECT max(id) AS t FROM v), te AS (SELECT max(id) AS t FROM e)
+SELECT src, dst, id > te.t AS added FROM e, te WHERE label = 'in_region' UNION ALL SELECT t + 1, {V['region']}, true FROM top UNION ALL SELECT t + 2, {V['region'] + 1}, true FROM top UNION ALL SELECT t + 2, t + 1, true FROM top""")
 def added_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = star(spark, sf_dir)
     new = graph.add_vertices(2, "place")
-    graph.add_edges([new[0], new[1], new[1]], [V["region"], V["region"] + 1, new[0]], "in_region")
-    return graph.traversal().E().hasLabel("in_region").count().toDF()
+    ids = graph.add_edges([new[0], new[1], new[1]], [V["region"], V["region"] + 1, new[0]], "in_region")
+    return graph.edges.where("label = 'in_region'").select("src", "dst", (F.col("id") >= ids[0]).alias("added"))
 
 
 @query("property_entries", "SELECT 'acctbal' AS property, count(acctbal) AS n FROM v UNION ALL SELECT 'size', count(size) FROM v UNION ALL SELECT 'quantity', count(quantity) FROM e")
 def property_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = graph_of(spark, sf_dir)
-    own = graph.vertices.select(F.lit("acctbal").alias("property"), "acctbal").agg(F.first("property").alias("property"), F.count("acctbal").alias("n"))
-    size = graph.vertices.agg(F.count("size").alias("n")).select(F.lit("size").alias("property"), "n")
-    quantity = graph.view_edge_property("quantity").agg(F.count(F.lit(1)).alias("n")).select(F.lit("quantity").alias("property"), "n")
-    return own.unionByName(size).unionByName(quantity)
+    own = [(k, graph.vertex_property_entries(k)) for k in ("acctbal", "size")] + [("quantity", graph.edge_property_entries("quantity"))]
+    return spark.createDataFrame(own, "property string, n long")
 
 
 # Samples: their size and where they come from, as no SQL draws the same
@@ -411,24 +423,11 @@ def explode_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("context_by_group", "SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn, text) AS context FROM conversations GROUP BY conv_id")
 def context_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    parts = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda s: s["text"]), " ").alias("context"))
+    return joined_texts(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ["conv_id"], "text", ["turn"])
 
 
 @query("group_by_label", "SELECT label, count(*) AS n, min(id) AS low FROM v GROUP BY label")
 def group_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_of(spark, sf_dir).traversal().V().elementMap(["label"]).toDF(["cur", "label"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("cur").alias("low"))
-
-
-@query("nearest_exact", f"SELECT {V['customer']} + vec_id AS id, 0 AS query, round(list_cosine_similarity(embedding::DOUBLE[], q0), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q0) DESC, vec_id LIMIT 20")
-def nearest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(graph_of(spark, sf_dir).embedding("emb"), [vector_of(spark, sf_dir, 0)], 20).withColumn("score", F.round("score", 6))
-
-
-@query("nearest_cells", None)
-def nearest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate, thus without SQL; the tests measure its recall."""
-    graph = star(spark, sf_dir)
-    graph.make_vertex_embedding_index("emb")
-    return graph.traversal().V().like("emb", [vector_of(spark, sf_dir, 0)], 20, approximate=True).toDF()
+    grouped = lambda child: graph_of(spark, sf_dir).traversal().V().group().by(__().label()).by(child).toDF()
+    n = grouped(__().count()).select("cur.key", F.col("cur.value").alias("n"))
+    return n.join(grouped(__().id().min()).select("cur.key", F.col("cur.value").alias("low")), "key").select(F.col("key").alias("label"), "n", "low")

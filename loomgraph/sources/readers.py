@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,6 +71,17 @@ def with_properties(spark: SparkSession, vertices: DataFrame, id_col: str, edges
     return PropertyGraph(spark, v, e.select("id", F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), F.lit(label).alias("label"), *[c for c in edges.columns if c not in (src, dst)]))
 
 
+def csv_tables(spark: SparkSession, vertices: str, vertex_schema: str, id_col: str, edges: str, edge_schema: str, src: str, dst: str, label: str, vertex_label: str = "", drop: Sequence[str] = ()) -> PropertyGraph:
+    """CSV files with a header whose ids are whole numbers, such as tables of patents and their citations.
+
+    Schemas name the files' columns in their order.  Columns ``drop`` are not read on; a row without an id or an end is left out, an empty field is a
+    missing property.
+    """
+    v = spark.read.csv(vertices, header=True, schema=vertex_schema).where(F.col(id_col).isNotNull()).drop(*drop)
+    e = spark.read.csv(edges, header=True, schema=edge_schema).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).drop(*drop)
+    return with_properties(spark, v, id_col, e, src, dst, label, vertex_label)
+
+
 WIKI = "id string, title string, sentences array<string>, mentions array<struct<sent_idx:bigint, ref_ids:array<string>, ref_url:string>>"
 
 
@@ -132,5 +144,5 @@ def from_arrays(spark: SparkSession, n: int, src: Sequence[int], dst: Sequence[i
     graph.add_vertices(n)
     graph.add_edges(src, dst, label)
     for name, values in (properties or {}).items():
-        graph.set_vertex_properties(name, range(n), [v.item() if hasattr(v, "item") else v for v in values])
+        graph.set_vertex_properties(name, spark.createDataFrame(pa.table({"id": np.arange(n), "value": np.asarray(values)})))
     return graph

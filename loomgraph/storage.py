@@ -24,7 +24,7 @@ class Rounds:
     """One table a round; a round's table goes once the one after the next is written."""
 
     def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex[:12]}", 0
+        self.spark, self.path, self.n = spark, written_path(spark, tag), 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` as a table; it may read the round before, which therefore stays until the next call."""
@@ -45,5 +45,10 @@ class Rounds:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def written_path(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex[:12]}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     return Rounds(df.sparkSession, tag).keep(df)

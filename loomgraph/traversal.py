@@ -37,8 +37,12 @@ class Traversal:
 
     # -- scans and filters
 
-    def V(self, ids: int | Sequence[int] | None = None) -> Traversal:
-        """All vertices, or those of the ids.  No ids given and an empty list are the same.  Later in a chain: with each traverser."""
+    def V(self, ids: int | Sequence[int] | DataFrame | None = None) -> Traversal:
+        """All vertices, or those of the ids, also of a table's one column.  No ids given and an empty list are the same.  Later in a chain: with each traverser."""
+        if isinstance(ids, DataFrame):
+            if self.chain:
+                raise ValueError("a table of ids begins a chain")
+            return self._then(S.Scan("vertices", table=ids.toDF("want")))
         own = _ids(ids)
         return self._then(S.MidScan(own) if self.chain else S.Scan("vertices", own))
 
@@ -47,8 +51,10 @@ class Traversal:
             raise ValueError("E() begins a chain")
         return self._then(S.Scan("edges", _ids(ids)))
 
-    def has(self, key: str, value: Any = None) -> Traversal:
-        """The property satisfies ``value`` (a predicate, or equals it); without value it is there."""
+    def has(self, key: str, value: Any = None, of_label: Any = None) -> Traversal:
+        """The property satisfies ``value`` (a predicate, or equals it); without value it is there.  Three arguments: label, property, value."""
+        if of_label is not None:
+            return self.hasLabel(key).has(value, of_label)
         return self._then(S.Has(key, None if value is None else value if isinstance(value, P) else P.eq(value)))
 
     def hasNot(self, key: str) -> Traversal:
@@ -70,6 +76,24 @@ class Traversal:
     def not_(self, child: Traversal) -> Traversal:
         return self._then(S.FilterChild(self._child(child), True))
 
+    def and_(self, *children: Traversal) -> Traversal:
+        """Traversers for which each child has a result."""
+        own = self
+        for c in children:
+            own = own.filter(c)
+        return own
+
+    def or_(self, *children: Traversal) -> Traversal:
+        """Traversers for which a child has a result."""
+        return self._then(S.FilterChild((S.Union(tuple(self._child(c) for c in children)),)))
+
+    def is_(self, value: Any) -> Traversal:
+        return self._then(S.Is(value if isinstance(value, P) else P.eq(value)))
+
+    def simplePath(self) -> Traversal:
+        """Without traversers that have been at a vertex or edge twice; not in children of filters, by() and property()."""
+        return self._then(S.SimplePath())
+
     def dedup(self) -> Traversal:
         return self._then(S.Dedup())
 
@@ -117,6 +141,29 @@ class Traversal:
         """Saves properties beside the traverser, which stays where it is."""
         return self._then(S.ElementMap(tuple(keys)))
 
+    def properties(self, key: str) -> Traversal:
+        """The property's values, which ``drop()`` may follow."""
+        return self.values(key)
+
+    def valueMap(self, *keys: str) -> Traversal:
+        """A record of these properties, or of all; missing ones are null."""
+        return self._then(S.ValueMap(keys))
+
+    def project(self, *names: str) -> Traversal:
+        """A record with a value for each name, which ``by()`` gives in turn."""
+        return self._then(S.Project(names))
+
+    def map(self, child: Traversal) -> Traversal:
+        return self._then(S.MapTo(self._child(child)))
+
+    def unfold(self) -> Traversal:
+        """A traverser for each element of a list, or for each key and value of a map."""
+        return self._then(S.Unfold())
+
+    def group(self) -> Traversal:
+        """Records of ``key`` and ``value``.  The first ``by()`` is the key, the second what becomes of all traversers of a key, such as ``count()``."""
+        return self._then(S.Group())
+
     def as_(self, tag: str) -> Traversal:
         return self._then(S.Tag(tag))
 
@@ -200,9 +247,19 @@ class Traversal:
         return self._then(S.Order())
 
     def by(self, child: Traversal | str, direction: str = "ASC") -> Traversal:
-        """Sorts the preceding order by a child's value or a property, then by the current value."""
+        """Sorts the preceding order by a child's value or a property, then by the current value; or gives project() and group() their values."""
+        if self.chain and isinstance(self.chain[-1], (S.Project, S.Group)):
+            own = (S.Values(child),) if isinstance(child, str) else self._child(child)
+            last = self.chain[-1]
+            if isinstance(last, S.Project):
+                if len(last.children) == len(last.names):
+                    raise ValueError("more values than names")
+                new: S.Step = S.Project(last.names, (*last.children, own))
+            else:
+                new = S.Group(own) if last.key is None else S.Group(last.key, own)
+            return Traversal(self.graph, (*self.chain[:-1], new), self.off, self.options)
         if not self.chain or not isinstance(self.chain[-1], S.Order):
-            raise ValueError("by() follows order()")
+            raise ValueError("by() follows order(), project() or group()")
         if direction.upper() not in ("ASC", "DESC"):
             raise ValueError("ASC or DESC")
         own = (S.Values(child),) if isinstance(child, str) else self._child(child)
@@ -223,6 +280,12 @@ class Traversal:
         child = self._child(value) if isinstance(value, Traversal) else None
         return self._then(S.SetProperty(key, None if child is not None else value, child, dtype))
 
+    def drop(self) -> Traversal:
+        """Takes the property away whose values come last in the chain."""
+        if not self.chain or not isinstance(self.chain[-1], S.Values):
+            raise ValueError("drop() follows properties()")
+        return Traversal(self.graph, (*self.chain[:-1], S.DropProperty(self.chain[-1].key)), self.off, self.options)
+
     def addV(self, label: str = "") -> Traversal:
         return self._then(S.AddVertex(label))
 
@@ -319,7 +382,7 @@ class Source:
     def _start(self) -> Traversal:
         return Traversal(self.graph, (), self.off, self.options)
 
-    def V(self, ids: int | Sequence[int] | None = None) -> Traversal:
+    def V(self, ids: int | Sequence[int] | DataFrame | None = None) -> Traversal:
         return self._start().V(ids)
 
     def E(self, ids: int | Sequence[int] | None = None) -> Traversal:
