@@ -1,11 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 ``LineRuns`` keeps what has been seen: tables of (line hash, documents that hold it, largest document id), each sorted by
-hash.  A new batch is a run of level 0; ``FANOUT`` runs of a level are merged into one of the next, so that a batch meets few
-runs and a hash is rewritten once a level.  ``add`` merge-anti-joins a batch against the runs and then adds the batch's own.
+hash.  ``add`` merge-anti-joins a batch against the runs: the hashes that no run has are a new run of level 0, so that a hash is in one run only,
+and those seen before go to tables of further counts.  ``FANOUT`` runs of a level are merged into one of the next, so that a batch meets few runs
+and a hash is rewritten once a level.
 
-``dedup_lines`` needs counts over the whole corpus, thus it feeds all batches to the runs, merges these into one, and then
-merge-joins the lines of the documents against the keys to be dropped.  Texts are read twice and shuffled once.
+``dedup_lines`` needs counts over the whole corpus, thus it adds all batches and then merge-joins the lines of the documents against the keys to be
+dropped.  Texts are read twice and shuffled once.
 """
 
 from __future__ import annotations
@@ -58,64 +59,82 @@ def doc_lines(docs: DataFrame, least: int = 20) -> DataFrame:
     return in_arrow(docs, _keys_of(least), "doc_id long, h1 long, h2 long")
 
 
+SEEN = "h1 long, h2 long, n_docs long, max_doc long"
+
+
 class LineRuns:
     """Levelled sorted runs in the shared folder (or under ``path``).
 
-    An empty batch adds no run.  A document's id may be null; it counts as a document and is smaller than any other.
+    An empty batch adds no hash.  A document's id may be null; it counts as a document and is smaller than any other.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
         self.spark, self.path, self.fanout, self.made = spark, path or new_path(spark, "line-runs"), fanout, 0
         self.levels: list[list[str]] = []
+        self.again: list[str] = []
+        self.merged: list[str] = []
 
-    def _write(self, df: DataFrame, level: int) -> None:
-        path = f"{self.path}/level-{level}-run-{self.made}"
+    def _new(self, name: str) -> str:
         self.made += 1
-        # The aggregation has already dealt the rows by hash: the sort is within its partitions, without another shuffle.
+        return f"{self.path}/{name}-{self.made}"
+
+    def _write(self, df: DataFrame, level: int) -> None:
+        path = self._new(f"level-{level}-run")
+        # The join or aggregation has already dealt the rows by hash: the sort is within its partitions, without another shuffle.
         df.sortWithinPartitions("h1", "h2").write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
 
     def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long, max_doc long").parquet(*paths)
+        return self.spark.read.schema(SEEN).parquet(*paths) if paths else self.spark.createDataFrame([], SEEN)
+
+    @property
+    def runs(self) -> list[str]:
+        return [p for own in self.levels for p in own]
 
     @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    def _merged(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+
+    def _replace(self, runs: list[str], df: DataFrame, level: int) -> None:
+        self._write(df, level)
+        for own in self.levels:
+            own[:] = [p for p in own if p not in runs]
+        self.merged += runs
 
     def compact(self, whole: bool = False) -> None:
-        """Merges each level that has ``fanout`` runs into the next; ``whole`` merges all runs into one."""
+        """Merges each level that has ``fanout`` runs into the next; ``whole`` merges all runs and further counts into one run."""
+        if whole:
+            again, self.again = self.again, []
+            self._replace([*self.runs, *again], self._merged(self._read([*self.runs, *again])), len(self.levels))
+            return
         level = 0
         while level < len(self.levels):
-            runs = self.levels[level]
-            if whole and level == len(self.levels) - 1:
-                runs = [p for own in self.levels for p in own]
-            if len(runs) > 1 and (len(runs) >= self.fanout or whole and level == len(self.levels) - 1):
-                self._write(self._merged(self._read(runs)), level + 1)
-                for own in self.levels:
-                    own[:] = [p for p in own if p not in runs]
-                for p in runs:
-                    remove(self.spark, p)
-                if whole and level + 1 == len(self.levels) - 1:
-                    return
+            if len(runs := list(self.levels[level])) >= self.fanout:
+                self._replace(runs, self._merged(self._read(runs)), level + 1)
             level += 1
 
     def seen(self) -> DataFrame:
-        """All runs as one relation, one row a hash."""
-        runs = [p for own in self.levels for p in own]
-        if not runs:
-            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, max_doc long")
-        return self._read(runs) if len(runs) == 1 else self._merged(self._read(runs))
-
-    def add(self, lines: DataFrame, new: bool = True) -> DataFrame | None:
-        """Adds a batch of ``doc_lines``; returns its hashes that no earlier batch had (``new=False``: doesn't ask)."""
+        """All that has been added as one relation, one row a hash."""
+        return self._merged(self._read([*self.runs, *self.again]))
+
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Adds a batch of ``doc_lines``; returns its hashes that no earlier batch had, to be read before the next batch is added."""
+        for path in self.merged:
+            remove(self.spark, path)
+        self.merged = []
         own = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        fresh = None
-        if new:
-            own = written(own, "line-batch")
-            fresh = written(own.join(self.seen().hint("merge"), ["h1", "h2"], "left_anti"), "line-new")
-        self._write(own, 0)
+        if not self.runs:
+            self._write(own, 0)
+            return self._read(self.levels[0][-1:])
+        own = written(own, "line-batch")
+        known = self._read(self.runs).select("h1", "h2").hint("merge")
+        self._write(own.join(known, ["h1", "h2"], "left_anti"), 0)
+        fresh = self._read(self.levels[0][-1:])
+        again = self._new("again")
+        own.join(known, ["h1", "h2"], "left_semi").select("h1", "h2", "n_docs", "max_doc").write.parquet(again)
+        self.again.append(again)
         self.compact()
         return fresh
 
@@ -150,15 +169,16 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, bat
     A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased.  Keys of ``least_chars`` code points or
     more that ``least_docs`` rows hold lose their lines except in the row of the largest ``doc_id``.  Null texts are empty, one
     empty line.  A null ``doc_id`` counts as the smallest.  Rows that repeat a ``doc_id`` count one by one and lose or keep a
-    line together.  An empty table gives an empty table.
+    line together.  Texts and lines of any length are read whole.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     body = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    lines = written(doc_lines(body.select("doc_id", "text"), least_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "lines")
+    path = new_path(spark, "lines")
+    doc_lines(body.select("doc_id", "text"), least_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(path)
+    lines = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(path)
     runs = LineRuns(spark)
     for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b), new=False)
-    runs.compact(whole=True)
+        runs.add(lines.where(F.col("batch") == b))
     often = runs.seen().where(F.col("n_docs") >= least_docs).select("h1", "h2", "max_doc")
     # Sorted runs against sorted lines; a line that a third of all documents share is a skewed join key, which AQE splits.
     gone = lines.join(often.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
