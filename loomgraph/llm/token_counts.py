@@ -5,7 +5,7 @@ node of what is left once the greedy matching has popped tokens off the node's s
 A word is read once, symbol by symbol: where the trie has no arc, the link is followed and its count added.  So the number of greedy
 longest-match pieces comes out in time linear in the text, and no piece is ever built (Song et al., Fast WordPiece Tokenization, 2021).
 
-All words of a slice walk the automaton side by side in numpy.
+All words of a slice walk the automaton side by side in numpy; the few of more than ``LONG`` bytes walk it one by one.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .words import joined
 
 LAST = 256  # added to a word's last byte
 SYMBOLS = 512
+#: Bytes of a word above which it walks by itself: side by side, each of its bytes would cost a step of its own anyway.
+LONG = 200
 SPACE, LETTER, DIGIT, OTHER = range(4)
 KIND = np.full(256, OTHER, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = SPACE
@@ -89,16 +91,44 @@ class Automaton:
                 link[v], pops[v] = to, n
         self.arcs = Table(np.array(list(arcs), np.int64), np.array(list(arcs.values()), np.int32))
         self.link, self.pops = np.array(link, np.int64), np.array(pops, np.int64)
+        self.one_by_one = (arcs, link, pops)
+
+    def count_long(self, word: bytes) -> int:
+        """``counts`` of one word."""
+        arcs, link, pops = self.one_by_one
+        state = n = 0
+        last = len(word) - 1
+        for j, c in enumerate(word):
+            symbol = c if j < last else c + LAST
+            while (to := arcs.get(state * SYMBOLS + symbol)) is None:
+                n += pops[state]
+                state = link[state]
+                if state < 0:
+                    return 1
+            state = to
+        while state:
+            n += pops[state]
+            state = link[state]
+            if state < 0:
+                return 1
+        return n
 
     def counts(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Pieces of each word.  A word that no pieces cover counts as one, the unknown token."""
         size = end - start
+        long = np.flatnonzero(size > LONG)
+        if len(long):
+            out = np.empty(len(size), np.int64)
+            short = np.flatnonzero(size <= LONG)
+            out[short] = self.counts(buf, start[short], end[short])
+            out[long] = [self.count_long(buf[a:b].tobytes()) for a, b in zip(start[long], end[long], strict=True)]
+            return out
         order = np.argsort(-size, kind="stable")
         begin, size = start[order], size[order]
         state, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         lost = np.zeros(len(order), bool)
-        for j in range(int(size[0]) if len(size) else 0):
-            n = int(np.searchsorted(-size, -j, side="left"))  # the words longer than j
+        longer = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left").tolist()
+        for j, n in enumerate(longer):  # the n words longer than j
             symbol = buf[begin[:n] + j].astype(np.int64)
             symbol[size[:n] == j + 1] += LAST
             live = np.flatnonzero(~lost[:n]) if lost.any() else np.arange(n)
@@ -163,6 +193,7 @@ def token_counts(docs: DataFrame, spec: str) -> DataFrame:
     """``docs`` with ``n_words`` and ``n_tokens`` (suffixed if there are such columns), A-Z lower-cased.
 
     ``spec``: the text of a byte-level tokenizers file with word ends, of which the vocabulary is taken.  Null and empty texts: 0 and 0.
+    Texts and words of any length are read whole, in a time that follows their length.  Repeated rows stay; no rows give no rows.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])

@@ -1,10 +1,13 @@
 import re
+import time
 
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from loomgraph.llm import token_counts as token_counts_module
 from loomgraph.llm.token_counts import LAST, Automaton, pieces_of, token_counts, word_bounds
 from loomgraph.llm.words import joined
 
@@ -46,6 +49,27 @@ def test_words(texts):
     assert got == [w for t in texts for w in brute_words(t)]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.text("abc", min_size=1, max_size=5), min_size=1, max_size=12), st.lists(st.text("abc", min_size=1, max_size=30), max_size=8))
+def test_long_words(inner, words):
+    """Words one by one as side by side."""
+    pieces = {tuple(x.encode()) for x in inner} | {(*x.encode()[:-1], x.encode()[-1] + LAST) for x in inner}
+    buf, offsets = joined(pa.array(words, pa.string()))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_counts_module, "LONG", 5)
+        assert Automaton(sorted(pieces)).counts(buf, offsets[:-1], offsets[1:]).tolist() == [brute_count(w.encode(), pieces, 6) for w in words]
+
+
+def test_ten_megabytes_without_a_space():
+    automaton, took = Automaton(sorted(PIECES)), []
+    for n in (1_000_000, 10_000_000):
+        buf, offsets = joined(pa.array(["abcdefghij" * (n // 10)]))
+        began = time.perf_counter()
+        assert automaton.counts(buf, *word_bounds(buf, offsets))[0] > n // 20
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
+
+
 def test_rows(spark):
     texts = ["Internationalization isn't x1y22 -- ok!!", None, "", " \n ", "a" * 30000, "É日本語 ſK", "w " * 5000]
     docs = spark.createDataFrame([(i if i else None, t, "c", 5) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string, n_words_1 int")
