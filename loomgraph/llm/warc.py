@@ -41,7 +41,14 @@ def _weak(etag: Column) -> Column:
 
 def merged_headers(response: Column, revisit: Column) -> Column:
     """The response's header fields (lower-case names), those of ``RENEWED`` replaced by the revisit's where it has them."""
-    low = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
+
+    def low(m: Column) -> Column:
+        """Of names that differ only in case, the value of the one that sorts last: maps keep no order of their own."""
+        all_of = F.array_sort(F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>")))
+        lower = F.transform(all_of, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+        later = lambda e, i: F.exists(F.slice(lower, i + 2, F.size(lower)), lambda x: x["key"] == e["key"])
+        return F.map_from_entries(F.filter(lower, lambda e, i: ~later(e, i)))
+
     fresh = F.map_filter(low(revisit), lambda k, v: k.isin(*RENEWED) & v.isNotNull())
     return F.map_concat(F.map_filter(low(response), lambda k, v: ~F.array_contains(F.map_keys(fresh), k)), fresh)
 
@@ -53,7 +60,7 @@ def resolved(records: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     ``last_modified``, ``headers`` map; other columns are ignored.  Earlier means a smaller ``ts``; of responses with the same ``ts`` the largest
     ``record_id`` is the latest.  Outcomes: "resolved" (entity tags, or else the dates, are equal), "unchecked" (no validator on both
     sides), "changed" (they differ; no headers), "missing" (no earlier response, or a null url or ts; no response_id, no headers).
-    Header names that differ only in case must not recur within a record.
+    Of header names within a record that differ only in case, the one that sorts last counts.  Repeated revisits each have their row; no records, no rows.
     """
     body = F.struct("record_id", "etag", "last_modified", "headers")
     kind = F.col("kind")

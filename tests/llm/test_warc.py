@@ -18,7 +18,7 @@ def brute(rows, key):
         o = max(full, key=lambda x: (x[2], x[0]))
         bare = lambda t: t.strip().removeprefix("W/")
         same = bare(r[4]) == bare(o[4]) if r[4] is not None and o[4] is not None else r[5] == o[5] if r[5] is not None and o[5] is not None else None
-        low = lambda h: {k.lower(): v for k, v in (h or {}).items()}
+        low = lambda h: {k.lower(): v for k, v in sorted((h or {}).items(), key=lambda e: e[0])}
         headers = None if same is False else low(o[6]) | {k: v for k, v in low(r[6]).items() if k in RENEWED and v is not None}
         out[rid] = (o[0], {None: "unchecked", True: "resolved", False: "changed"}[same], headers)
     return out
@@ -37,7 +37,7 @@ def test_against_brute_force(spark):
     for i in range(600):
         kind = r.choice(["response", "revisit", "revisit", "request"])
         tag = r.choice([None, '"1"', 'W/"1"', '"2"'])
-        headers = r.choice([None, {}, {"ETag": tag, "Date": str(i), "X-A": "1"}, {"Content-Type": "t", "Content-Length": str(i), "CACHE-control": None}])
+        headers = r.choice([None, {}, {"ETag": tag, "Date": str(i), "X-A": "1"}, {"etag": "old", "Date": "first", "ETAG": tag, "date": str(i)}, {"Content-Type": "t", "Content-Length": str(i), "CACHE-control": None}])
         rows.append((i, r.choice(urls), r.choice([None, *range(40)]), kind, tag, r.choice([None, "mon", "tue"]), headers, "clash"))
     frame = spark.createDataFrame(rows, SCHEMA)
     key = {x.url: x.k for x in frame.select("url", canonical_url(F.col("url")).alias("k")).distinct().collect()}
