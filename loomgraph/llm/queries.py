@@ -13,7 +13,7 @@ from .decontaminate import contamination
 from .image_copies import copy_classes, rasters
 from .line_dedup import dedup_lines
 from .quality import THRESHOLD, held_out, scored, train
-from .secrets_scan import Scanner, made_findings, secrets
+from .secrets_scan import Scanner, found_findings, made_findings, secrets
 from .sentencepiece_wfst import encoded, model_bytes
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -39,7 +39,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), Scanner().fit(made_findings()))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = secrets(docs, Scanner().fit(made_findings() + found_findings(docs, held_out(F.col("doc_id")))))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = joined(F.filter("secrets", lambda s: s["kind"] != "model"))

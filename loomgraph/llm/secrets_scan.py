@@ -4,6 +4,9 @@ Base spans come from three patterns and always stay.  Every run of ``RUN``, unle
 goes through the network with the characters around it: embedded characters, one convolution, maximum and mean over all
 positions (a candidate of any length, uncut), a logistic layer.  It is trained in numpy on labelled findings; its scores are calibrated
 on findings kept apart (Platt), and the threshold is the largest that keeps ``RECALL`` of the calibration secrets.
+
+Labelled findings are of two kinds: templates of secrets and of what looks like them (``made_findings``), and runs in the documents themselves
+(``found_findings``): what a fixed pattern has found is a secret, other runs are taken for plain.
 """
 
 from __future__ import annotations
@@ -15,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, in_arrow, row_slices
+from .common import free_name, in_arrow, row_slices, slices, texts
 
 #: The base patterns (fixed values), in the order of their kinds.  Key words match in either case, of ASCII letters only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -33,6 +36,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
 KINDS = ("assign", "access", "hex", "model")
 LEFT, RIGHT = 24, 8
 RECALL = 0.98
+#: Documents and findings of each label that a scanner is fitted to at most, besides templates.
+MAX_DOCS, MAX_ROWS = 4000, 1500
 MODEL_SEED = 11
 
 
@@ -132,6 +137,40 @@ def made_findings(n: int = 3000, seed: int = MODEL_SEED) -> list[tuple[str, str,
     return out
 
 
+def labelled_runs(text: str, plain: int = 2) -> list[tuple[str, str, str, int]]:
+    """Of one text: its runs that touch a base span (1), and the ``plain`` longest of the others (0), with their contexts."""
+    base, out, rest = base_spans(text), [], []
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        row = (text[max(0, a - LEFT) : a], m[0], text[b : b + RIGHT])
+        if any(x < b and y > a for x, _, y in base):
+            out.append((*row, 1))
+        else:
+            rest.append((*row, 0))
+    return out + sorted(rest, key=lambda x: (-len(x[1]), x))[:plain]
+
+
+def found_findings(docs: DataFrame, held_out: Column, max_docs: int = MAX_DOCS, max_rows: int = MAX_ROWS) -> list[tuple[str, str, str, int]]:
+    """Labelled findings from a bounded sample of ``docs`` (``doc_id``, ``text``): of ``max_docs`` documents at most, by a hash of their ids, outside
+    ``held_out`` (a condition on ``doc_id``), at most ``max_rows`` of each label, by a hash of themselves.  Null ids and texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = [x for text in part.column("text").to_pylist() for x in labelled_runs(text)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], ["l", "c", "r", "y"])
+
+    plain = texts(docs)
+    ids = plain.where("doc_id IS NOT NULL").where(~held_out).select(F.col("doc_id").alias("of")).distinct().orderBy(F.xxhash64("of"), "of").limit(max_docs)
+    # At most max_docs ids: a bounded side.
+    rows = in_arrow(plain.join(F.broadcast(ids), F.col("doc_id") == F.col("of"), "left_semi").select("text"), run, "l string, c string, r string, y int")
+    out = []
+    for label in (0, 1):
+        own = rows.where(F.col("y") == label).distinct().orderBy(F.xxhash64("l", "c", "r"), "l", "c", "r").limit(max_rows)
+        out += [(x.l, x.c, x.r, x.y) for x in own.collect()]
+    return out
+
+
 class Scanner:
     """The network, its calibration and its threshold."""
 
@@ -286,7 +325,8 @@ def _scan(scanner: Scanner):
 def secrets(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """``docs`` with ``secrets`` (suffixed if there is such a column): an array of ``kind, start, end, score`` by start, then kind.
 
-    Places are code points, the end exclusive.  Null and empty texts have none.
+    Places are code points, the end exclusive.  Null and empty texts have none; texts of any length are scanned whole.  Repeated rows stay, each
+    with its own; no rows give no rows.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])

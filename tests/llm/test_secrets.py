@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from loomgraph.llm.secrets_scan import CANDIDATE, HEX, KINDS, LEFT, RECALL, RIGHT, Scanner, base_spans, candidates, made_findings, runs, secrets, spans_of
+from loomgraph.llm.quality import held_out
+from loomgraph.llm.secrets_scan import CANDIDATE, HEX, KINDS, LEFT, MAX_ROWS, RECALL, RIGHT, Scanner, base_spans, candidates, found_findings, labelled_runs, made_findings, runs, secrets, spans_of
 
 KEY = "|".join("".join(f"[{c.lower()}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
 
@@ -76,3 +78,23 @@ def test_every_run_is_scored(scanner):
     assert all(len(b) < 16 or not re.search("[0-9]", b) or HEX.search(b) for b in ("Xk9mQ2vL8pR4t", key))
     short = [x for x in made_findings(1500, seed=3) if x[3] and (len(x[1]) < 16 or not re.search("[0-9]", x[1]))]
     assert len(short) > 50 and np.mean(scanner.scores([x[:3] for x in short]) >= scanner.threshold) > RECALL - 0.05
+
+
+def test_findings_in_documents(spark):
+    """Learnt from the documents outside the held-out fold; of those in it, patterns' findings are recognised and plain runs left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    found = found_findings(docs, held_out(F.col("doc_id")))
+    assert found == found_findings(docs.repartition(7), held_out(F.col("doc_id")))
+    assert {x[3] for x in found} == {0, 1} and max(sum(x[3] == y for x in found) for y in (0, 1)) <= MAX_ROWS
+    scanner = Scanner().fit(made_findings() + found)
+    rows = [x for r in docs.where(held_out(F.col("doc_id"))).collect() for x in labelled_runs(r.text or "", 5)]
+    got = scanner.scores([x[:3] for x in rows]) >= scanner.threshold
+    label = np.array([x[3] for x in rows]) == 1
+    assert got[label].mean() > 0.75 and got[~label].mean() < 0.01
+
+
+def test_findings_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None), (None, "token=abcdefghijklmnop"), (2, ""), (3, "secret: abcdefghijkl0 and something longer"), (3, "secret: abcdefghijkl0 and something longer")], "doc_id long, text string")
+    assert found_findings(docs, F.lit(False)) == found_findings(docs.where("doc_id = 3"), F.lit(False))
+    assert [(x[1], x[3]) for x in found_findings(docs, F.lit(False))] == [("something", 0), ("abcdefghijkl0", 1)]
+    assert found_findings(docs.where("false"), F.lit(False)) == []
