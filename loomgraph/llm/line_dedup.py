@@ -179,7 +179,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, bat
     runs = LineRuns(spark)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
-    often = runs.seen().where(F.col("n_docs") >= least_docs).select("h1", "h2", "max_doc")
+    # Written first: both sides of the join are then dealt as they are read, which is what AQE can split.
+    often = written(runs.seen().where(F.col("n_docs") >= least_docs).select("h1", "h2", "max_doc"), "often")
     # Sorted runs against sorted lines; a line that a third of all documents share is a skewed join key, which AQE splits.
     gone = lines.join(often.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     drops = gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
