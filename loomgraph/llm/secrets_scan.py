@@ -206,7 +206,8 @@ class Scanner:
 
     def _forward(self, symbol, inside, there):
         p, n, most = self.p, *symbol.shape
-        x = np.concatenate([p["e"][symbol], inside[:, :, None]], 2)
+        # Nothing lies beyond a row's end, whatever it is computed with.
+        x = np.concatenate([p["e"][symbol] * there[:, :, None], inside[:, :, None]], 2)
         half = self.WIDTH // 2
         padded = np.zeros((n, most + 2 * half, x.shape[2]), np.float32)
         padded[:, half : half + most] = x
@@ -224,9 +225,9 @@ class Scanner:
         order = sorted(range(len(rows)), key=lambda i: len(rows[i][1]))
         i = 0
         while i < len(order):
-            # Sorted, so the last row of a batch is its longest: a batch ends where padded rows would pass 200,000 characters.
+            # Sorted, so the last row of a batch is its longest: a batch ends where padded rows would pass 20,000 characters, which stay in the cache.
             j = i + 1
-            while j < len(order) and (j + 1 - i) * (len(rows[order[j]][1]) + LEFT + RIGHT) <= 200_000:
+            while j < len(order) and (j + 1 - i) * (len(rows[order[j]][1]) + LEFT + RIGHT) <= 20_000:
                 j += 1
             own = order[i:j]
             out[own] = self._forward(*self._symbols([rows[k] for k in own]))[0]
@@ -264,7 +265,7 @@ class Scanner:
                 de = np.zeros((len(own), most + 2 * half, size), np.float32)
                 for k in range(self.WIDTH):
                     de[:, k : k + most] += dc[:, :, k * size : (k + 1) * size]
-                flat = de[:, half : half + most, : self.EMBED].reshape(-1, self.EMBED)
+                flat = (de[:, half : half + most, : self.EMBED] * there[:, :, None]).reshape(-1, self.EMBED)
                 grads = {"w": hidden.T @ g, "o": np.array([g.sum()]), "b": da.sum((0, 1)), "c": cols.reshape(-1, cols.shape[2]).T @ da.reshape(-1, self.FILTERS), "e": np.stack([np.bincount(symbol.ravel(), flat[:, f], self.SYMBOLS) for f in range(self.EMBED)], 1)}
                 t += 1
                 for k, x in grads.items():

@@ -46,6 +46,13 @@ def test_held_out_findings(scanner):
     assert got[label].mean() > RECALL - 0.03 and got[~label].mean() < 0.02
 
 
+def test_scores_stand_alone(scanner):
+    """A candidate's score doesn't depend on what it is computed with."""
+    rows = [(a, b, c) for a, b, c, _ in made_findings(300, seed=8)]
+    together = scanner.raw(rows)
+    assert np.allclose(together, [scanner.raw([x])[0] for x in rows], atol=1e-4)
+
+
 def test_one_class():
     with pytest.raises(ValueError):
         Scanner().fit([("", "a" * 20 + "1", "", 1)])
