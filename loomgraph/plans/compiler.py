@@ -22,6 +22,8 @@ from ..storage import Rounds, written
 from . import steps as S
 
 VERTEX, EDGE, VALUE = "vertex", "edge", "value"
+#: Rows that the driver may hold as part of a plan.
+LOCAL = 1000
 
 
 @dataclass
@@ -36,6 +38,8 @@ class Frame:
     bulk: bool = False
     #: A scan or a table, no more to compute twice than to write.
     cheap: bool = False
+    #: How many rows there are at most, where a limit says so.
+    most: int | None = None
     #: With ``path``: where the traverser has been, edges as the complement of their id.
     path: bool = False
 
@@ -71,15 +75,29 @@ class Compiler:
                 continue  # taken with the order
             if isinstance(step, S.Order):
                 follow = chain[k + 1] if k + 1 < len(chain) and isinstance(chain[k + 1], S.Limit) else None
-                frame = self.order(step, follow.n if follow else None, frame)
+                frame = self.bounded(follow or step, self.order(step, follow.n if follow else None, frame))
                 continue
             frame = getattr(self, {"Is": "is_"}.get(type(step).__name__, type(step).__name__.lower()))(step, frame)
             if self.tracks and isinstance(step, (S.Scan, S.MidScan, S.Expand, S.Ends)) and not frame.root:
                 frame = self.moved(frame)
-            if frame.cheap and not isinstance(step, (S.Scan, S.Has, S.HasNot, S.Tag, S.Identity, S.Union)):
-                frame = replace(frame, cheap=False)
+            frame = self.bounded(step, frame)
         return frame
 
+    @staticmethod
+    def bounded(step: S.Step, frame: Frame) -> Frame:
+        """What is known of the frame's size and cost after a step."""
+        keeps = isinstance(step, (S.Has, S.HasNot, S.Where, S.Is, S.FilterChild, S.Dedup, S.Tag, S.Identity, S.Id, S.Order, S.SimplePath))
+        limit = None if frame.root else step.n if isinstance(step, (S.Limit, S.Sample)) else step.k if isinstance(step, S.Like) else None
+        cheap = frame.cheap and isinstance(step, (S.Scan, S.Has, S.HasNot, S.Tag, S.Identity, S.Union))
+        return replace(frame, cheap=cheap, most=limit if limit is not None else frame.most if keeps else None)
+
+    def cut(self, frame: Frame) -> Frame:
+        """The frame computed once: a table, or a relation in the plan itself where a limit keeps it to ``LOCAL`` rows."""
+        bare = frame.bare()
+        if frame.most is not None and frame.most <= LOCAL:
+            return replace(bare, df=self.graph.spark.createDataFrame(bare.df.toArrow()), cheap=True)
+        return replace(bare, df=written(bare.df, "branches"), cheap=True)
+
     def moved(self, frame: Frame) -> Frame:
         """The path with the current element at its end."""
         here = F.array(F.col("cur") if frame.kind == VERTEX else F.bitwise_not("cur"))
@@ -347,8 +365,7 @@ class Compiler:
     def branches(self, chains: list[S.Chain], frame: Frame) -> list[Frame]:
         """Of each chain its frame.  What several chains would compute alike, their input and the steps that they begin with, is written once."""
         if sum(bool(c) for c in chains) > 1 and not frame.cheap:
-            bare = frame.bare()
-            frame = replace(bare, df=written(bare.df, "branches"), cheap=True)
+            frame = self.cut(frame)
         found: list[Frame | None] = [None] * len(chains)
         for k, chain in enumerate(chains):
             if found[k] is not None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import PropertyGraph
+from ..storage import written
 
 VERTICES = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "order": 6, "turn": 7}
 EDGES = {"in_region": 1, "customer_in": 2, "supplier_in": 3, "placed": 4, "contains": 5, "filled_by": 6, "next": 7}
@@ -71,6 +72,20 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
+_numbered: dict[tuple[str, str], DataFrame] = {}
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their place in the order, numbered once in a session and written in order of orders, so that an order's lines are found by it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _numbered:
+        _numbered.clear()
+        lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*lines.columns)) - 1
+        _numbered[key] = written(lines.withColumn("line", number).select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "line"), "lines")
+    return _numbered[key]
+
+
 def star(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     own = []
@@ -83,9 +98,7 @@ def star(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         return df.select(id_.alias("id"), src.alias("src"), dst.alias("dst"), F.lit(label).alias("label"), (quantity if quantity is not None else null.cast("double")).alias("quantity"), (price if price is not None else null.cast("double")).alias("price"), (time if time is not None else null.cast("timestamp_ntz")).alias("time"))
 
     c = F.col
-    lines = read("lineitem")
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*lines.columns)) - 1
-    lines = lines.withColumn("line", number)
+    lines = numbered_lines(spark, sf_dir)
     return PropertyGraph(
         spark,
         _all(own),
