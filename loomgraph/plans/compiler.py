@@ -171,6 +171,12 @@ class Compiler:
 
     def filterchild(self, step: S.FilterChild, frame: Frame) -> Frame:
         frame = frame.bare()
+        only = step.child[0] if len(step.child) == 1 else None
+        if isinstance(only, (S.Encode, S.Expand)):
+            # Whether one step finds anything is a plain semi join.
+            self.need(frame, VERTEX, only)
+            there = self.graph.embedding(only.embedding).select(F.col("id").alias("hit")) if isinstance(only, S.Encode) else half_edges(self.graph, only.labels, only.direction).select(F.col("at").alias("hit"))
+            return replace(frame, df=frame.df.join(there, F.col("cur") == F.col("hit"), "left_anti" if step.negate else "left_semi"))
         inner, on = self.rooted(step.child, frame)
         ids = inner.df.select(F.col("root").alias("hit")).distinct()
         return replace(frame, df=frame.df.join(ids, on == F.col("hit"), "left_anti" if step.negate else "left_semi"))
@@ -314,13 +320,16 @@ class Compiler:
         own = self.graph.embedding(name).select(F.col("id").alias("v_id"), "vec" if value is None else value.alias("value"))
         return frame.df.join(own, F.col("cur") == F.col("v_id")).drop("v_id")
 
+    @staticmethod
+    def best(step: S.Similarity) -> Column:
+        scores = [score(F.col("vec"), constant(q), step.metric) for q in step.queries]
+        return scores[0] if len(scores) == 1 else F.greatest(*scores)
+
     def similarity(self, step: S.Similarity, frame: Frame) -> Frame:
         """The best score with any of the queries."""
         self.need(frame, VERTEX, step)
         frame = frame.bare()
-        scores = [score(F.col("vec"), constant(q), step.metric) for q in step.queries]
-        best = scores[0] if len(scores) == 1 else F.greatest(*scores)
-        return replace(frame, df=self.vectors(step.embedding, frame, best).select(F.col("value").alias("cur"), *frame.kept()), kind=VALUE)
+        return replace(frame, df=self.vectors(step.embedding, frame, self.best(step)).select(F.col("value").alias("cur"), *frame.kept()), kind=VALUE)
 
     def like(self, step: S.Like, frame: Frame) -> Frame:
         """On the traversers as they come, in the order in which it is written: a test after a top-k sees its results only."""
@@ -364,7 +373,7 @@ class Compiler:
 
     def branches(self, chains: list[S.Chain], frame: Frame) -> list[Frame]:
         """Of each chain its frame.  What several chains would compute alike, their input and the steps that they begin with, is written once."""
-        if sum(bool(c) for c in chains) > 1 and not frame.cheap:
+        if len(chains) > 1 and not frame.cheap:
             frame = self.cut(frame)
         found: list[Frame | None] = [None] * len(chains)
         for k, chain in enumerate(chains):
@@ -428,7 +437,19 @@ class Compiler:
 
     def scalar(self, child: S.Chain, frame: Frame, name: str) -> Frame:
         """``frame`` with the child's value in column ``name``; counts are 0 and others null where the child has none."""
+        only = child[0] if len(child) == 1 else None
+        if isinstance(only, S.Values) and frame.kind != VALUE:
+            self.known(frame.kind, only.key)
+            if frame.loaded:
+                return replace(frame, df=frame.df.select("cur", *frame.kept(), F.col(f"e_{only.key}").alias(name)), loaded=False)
+            own = self.table(frame.kind).select(F.col("id").alias("v_id"), F.col(only.key).alias(name))
+            return replace(frame, df=frame.df.join(own, F.col("cur") == F.col("v_id"), "left").drop("v_id"))
         frame = frame.bare()
+        if isinstance(only, S.Similarity):
+            # One value an element: no reduction by root is needed.
+            self.need(frame, VERTEX, only)
+            own = self.graph.embedding(only.embedding).select(F.col("id").alias("v_id"), self.best(only).alias(name))
+            return replace(frame, df=frame.df.join(own, F.col("cur") == F.col("v_id"), "left").drop("v_id"))
         if len(child) == 1 and isinstance(child[0], (S.Select, S.Id, S.Constant, S.Identity)):
             value = {S.Select: lambda s: frame.column(s.tag), S.Constant: lambda s: F.lit(s.value)}.get(type(child[0]), lambda s: F.col("cur"))(child[0])
             return replace(frame, df=frame.df.withColumn(name, value))
