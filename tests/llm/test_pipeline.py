@@ -16,6 +16,8 @@ def test_stages(spark):
         kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
         if name != "tokens":
             assert docs.dtypes == kinds
+        else:
+            assert docs.columns == [c for c, _ in kinds if c != "text"] + ["ids", "n_tokens", "ids_crc32", "round_trip"]
         if name == "quality":
             scores = scored(before, train(before, spark.read.parquet(f"{sf}/labels.parquet"))).collect()
             assert kept[name] == {r.doc_id for r in scores if r.score >= 0.3}
@@ -36,3 +38,26 @@ def test_nulls_and_repeats(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), r.n_tokens > 0) for r in rows) == [("1", True), ("2", False), ("None", True)]
+
+
+def test_odd_rows_and_names(spark, tmp_path):
+    """Columns of any name go through all stages; long texts are whole, ties and repeats have their row."""
+    names = ["row", "score", "drops", "kept", "batch", "component_id", "fp", "ids", "n_tokens", "decoded", "own text", "class", "dropped_id", "of"]
+    line = "a line of more than twenty characters that all have"
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    long = " ".join(word(k) for k in range(120_000))
+    item = " ".join(word(k) for k in range(200_000, 200_020))
+    texts = [(1, f"{line}\nfirst of its own kind of text here"), (2, f"{line}\nsecond text about another matter entirely"), (3, f"{line}\nthird one, unlike those before it"), (4, long), (5, long), (6, item), (7, ""), (8, None), (9, "x" * 300_000), (None, "no id here at all"), (None, "no id here at all")]
+    docs = spark.createDataFrame([(i, t, *["c"] * len(names)) for i, t in texts], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("item/1", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    done = corpus_pipeline.run(spark, str(tmp_path))
+    assert done.columns == ["doc_id", *names, "ids_1", "n_tokens_1", "ids_crc32", "round_trip"]
+    rows = done.collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(["1", "2", "3", "4", "7", "9", "None", "None"])
+    assert all(r.round_trip and all(r[n] == "c" for n in names) for r in rows)
+    assert {r.doc_id: r.n_tokens_1 for r in rows if r.doc_id}[4] > 120_000
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == []
