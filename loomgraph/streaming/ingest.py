@@ -10,12 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 def append_edges(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes a stream of ``src, dst, label`` to Parquet edge files, each micro-batch once; ids number a batch's edges above all earlier batches'.
 
-    A batch's number takes the high bits of an id.  A batch that runs again after a failure replaces its own folder.
+    A batch's number takes the high bits of an id (2**19 batches; one more fails).  A batch that runs again after a failure replaces its own folder.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        # Within a batch: the partition's number (11 bits) and the row's place in it (33 bits), unique without a sort.
-        rows = batch.withColumn("id", F.lit(number << 44) + F.monotonically_increasing_id())
+        if number >= 1 << 19:
+            raise OverflowError(f"batch {number} has no ids left")
+        # Within a batch: the partition's number (11 bits, thus so many partitions at most) and the row's place in it (33 bits), unique without a sort.
+        rows = batch.coalesce(1 << 11).withColumn("id", F.lit(number << 44) + F.monotonically_increasing_id())
         rows.select("id", "src", "dst", "label").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
