@@ -161,7 +161,8 @@ def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``docs``; the component is the smallest ``doc_id`` that links reach.
 
     Fingerprints that differ in three bits or fewer link, equal ones always; null, empty and blank texts have fingerprint 0,
-    which links like any other.  A null ``doc_id`` links nothing and has no component, yet keeps its row.
+    which links like any other.  A null ``doc_id`` links nothing and has no component, yet keeps its row.  Rows that repeat an id each have theirs.
+    Other columns are ignored, texts of any length read whole; no documents, no rows.
     """
     fps = written(fingerprints(docs), "fingerprints")
     nodes = written(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
@@ -174,7 +175,8 @@ def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
 def deduplicated(docs: DataFrame, most: int = MOST) -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest ``doc_id``.
 
-    Rows that share a ``doc_id`` are one document, of which the row with the smallest text stays.  Rows without an id stay.
+    Rows that share a ``doc_id`` are one document, of which the row with the smallest text stays.  Rows without an id stay.  All columns stay,
+    whatever their names; no documents, no rows.
     """
     near = written(near_duplicates(docs, most), "near")
     once = without(docs, near.where("component_id <> doc_id").select("doc_id"))

@@ -312,13 +312,16 @@ def _files(spark, path: str) -> DataFrame:
 
 
 def token_digests(spark, path: str, manifest: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files."""
+    """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files.
+
+    A row for each row that was written, repeats and null ids included; an empty text has what ``end`` gives it.  No documents: no files, no rows.
+    """
     rows = _files(spark, path).mapInPandas(_read, "doc_id long, file string, local long, n_tokens long, ids_crc32 long")
     return rows.join(starts(manifest), "file").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_token_files(spark, path: str) -> DataFrame:
-    """``doc_id, file, position, ids`` of each document, from the files."""
+    """``doc_id, file, position, ids`` of each document, from the files; rows as in ``token_digests``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
