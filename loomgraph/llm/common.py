@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or in a local session one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -59,7 +59,12 @@ def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     conf = rows.sparkSession.conf
     if conf.get(name, None) != str(BATCH_BYTES):
         conf.set(name, str(BATCH_BYTES))
-    return rows.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(task, schema)
 
 
 def long_id(df: DataFrame, name: str = "doc_id") -> Column:
@@ -89,6 +94,11 @@ def give_back() -> None:
         trim(0)
 
 
+#: Bytes of text after which a worker gives freed memory back while a task goes on; each time costs some, as memory is asked for anew.
+GIVE_BACK_BYTES = 64 << 20
+_done = 0
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows with about ``most`` bytes of text each, so that a worker's memory doesn't follow the batch."""
     sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
@@ -100,7 +110,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
-    give_back()
+    global _done
+    _done += int(sizes.sum())
+    if _done > GIVE_BACK_BYTES:
+        _done = 0
+        give_back()
 
 
 def row_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
