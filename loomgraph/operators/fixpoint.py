@@ -15,6 +15,11 @@ if TYPE_CHECKING:
     from ..graph import PropertyGraph
 
 
+def to_smallest(both: DataFrame, low: DataFrame) -> DataFrame:
+    """Large star: of ``both`` (each link from either end, ``a, b``) the neighbours above a node, linked to ``m``, which ``low`` has for each node ``a``."""
+    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+
+
 def rooted(links: DataFrame) -> DataFrame:
     """``a, b`` for each node ``a`` of ``links`` (two long columns ``a, b``, undirected) that isn't its component's smallest: ``b`` is.
 
@@ -28,7 +33,7 @@ def rooted(links: DataFrame) -> DataFrame:
     while True:
         both = now.unionAll(now.select("b", "a"))
         low = lows.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
-        large = larges.keep(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        large = larges.keep(to_smallest(both, low).distinct())
         least = leasts.keep(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a")
         now = nows.keep(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())

@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a folder of our own where it is unset, as in a local session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -20,6 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of all that this library writes in a session, within the shared folder."""
+    return f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}"
+
+
+def written_path(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{session_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
 class Rounds:
     """One table a round; a round's table goes once the one after the next is written."""
 
@@ -45,9 +55,15 @@ class Rounds:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written_path(spark: SparkSession, tag: str) -> str:
-    """A new folder's path in the shared folder."""
-    return f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex[:12]}"
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables of the session, once its results are saved: frames that read them are of no use any more."""
+    from .queries import _graphs
+    from .sources.star import _numbered
+
+    _graphs.clear()
+    _numbered.clear()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

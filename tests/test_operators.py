@@ -11,10 +11,11 @@ from loomgraph import P, PropertyGraph
 from loomgraph import anon as __
 from loomgraph.functions.scalars import day_number, first_item, part_key, prompt, words
 from loomgraph.functions.vectors import cosine, mean_of_word_vectors, mean_vector, norm
-from loomgraph.operators.fixpoint import components, min_label, reachable
+from loomgraph.operators.fixpoint import components, min_label, reachable, to_smallest
 from loomgraph.operators.subgraph import edge_index
 from loomgraph.operators.vector import nearest
 from loomgraph.sources.readers import edge_list, from_arrays
+from loomgraph.storage import clear, written, written_path
 
 from .graphs import DS1, DS2, DS3, lines
 
@@ -162,3 +163,36 @@ def test_functions(spark):
     docs = spark.createDataFrame([(1, "a b b"), (2, "zz"), (3, None)], "id long, text string")
     got = {r.id: r.vec for r in mean_of_word_vectors(docs, "text", "id", table).collect()}
     assert math.isclose(got[1][1], 2 / 3) and got[2] == got[3] == [0.0, 0.0]
+
+
+def test_a_hot_vertex_is_split(spark):
+    """The join back on a vertex that nearly all edges share, as the rounds of components have it."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        now = written(spark.range(1, 60_000).select(F.col("id").alias("a"), F.when(F.col("id") % 7 == 6, 60_000).otherwise(0).cast("long").alias("b")).where("a <> b").repartition(16), "star")
+        both = now.unionAll(now.select("b", "a"))
+        low = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "low")
+        large = to_smallest(both, low)
+        large.collect()
+        assert "skew=true" in large._jdf.queryExecution().executedPlan().toString().replace("isSkew", "skew")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_written_tables_can_be_cleared(spark):
+    path = written_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
