@@ -216,7 +216,19 @@ class Tokenizer:
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+def _lower(text: str) -> str:
+    """The text in lower case where Python's is surely the tokenizer's, so that a word is one chunk however it is written; else as it is."""
+    if text.isascii():
+        return text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def _pieces(text: str) -> list[str]:
+    text = _lower(text)
     if text.isascii() and not any(c in text for c in _NOT_SPACE):
         return text.split()
     return [x for x in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if x]
