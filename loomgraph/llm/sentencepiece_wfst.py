@@ -100,6 +100,29 @@ def merged(chars: list[str], score: dict[str, float]) -> tuple[list[str], tuple[
     return [p for p in parts if p], last
 
 
+def normaliser(prefix: bool, squeeze: bool, escape: bool) -> dict[tuple[int, bool], tuple[int, str]]:
+    """The normaliser's transducer: from a state, at a space or another character, the next state and the output, in which \0 is the character.
+
+    States: nothing written yet, after a character, after spaces that are written only if something follows.
+    """
+    space = SPACE if escape else " "
+    first = space if prefix else ""
+    return {
+        (0, False): (1, first + "\0"), (0, True): (0, "") if squeeze else (1, first + space),
+        (1, False): (1, "\0"), (1, True): (2, "") if squeeze else (1, space),
+        (2, False): (1, space + "\0"), (2, True): (2, ""),
+    }
+
+
+def transduced(text: str, arcs: dict[tuple[int, bool], tuple[int, str]]) -> str:
+    """What a normaliser's transducer writes for a text, arc by arc."""
+    state, out = 0, []
+    for c in text:
+        state, template = arcs[state, c == " "]
+        out.append(template.replace("\0", c))
+    return "".join(out)
+
+
 class Model:
     """The transducers of a SentencePiece model file (identity character map)."""
 
@@ -182,6 +205,7 @@ class Model:
         self.chunks = Chunks(self.encode_chunks, CHUNKS)
 
     def normalised(self, text: str) -> str:
+        """What ``normaliser``'s transducer writes, run by string functions (the tests compare the two)."""
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if text and self.prefix:

@@ -25,6 +25,14 @@ def test_as_the_library(text):
     assert own.decode(library.encode(text)) == text.replace("▁", " ")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(" ab▁\0", max_size=12), st.booleans(), st.booleans(), st.booleans())
+def test_normaliser(text, prefix, squeeze, escape):
+    flags = Model(model([("<unk>", 0.0, 2), ("a", -1.0, 1)], 1))
+    flags.prefix, flags.squeeze, flags.escape = prefix, squeeze, escape
+    assert flags.normalised(text) == sentencepiece_wfst.transduced(text, sentencepiece_wfst.normaliser(prefix, squeeze, escape))
+
+
 def test_long_chunks():
     for text in ["x" * 3000, "=" * 999 + " " * 500 + "e", "théâtre" * 400, "日本" * 300]:
         assert own.encode(text) == library.encode(text)
