@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from . import P
 from . import anon as __
 from .functions.scalars import day_number, first_item, joined_texts, part_key, prompt, words
-from .functions.vectors import mean_of_word_vectors
 from .graph import PropertyGraph
 from .operators.sampling import drawn_settings, split
 from .operators.subgraph import edge_index
