@@ -37,6 +37,8 @@ TABLES, MORE_BITS = 8, 8
 DISTANCE = 48
 #: Matches that must agree, and how far off a place may be, in pixels of the match's scale.
 AGREE, OFF, TURN = 4, 3.0, 0.35
+#: Pairs of proposal and match that are tried at once.
+PROPOSALS = 1 << 20
 #: Rounds with hubs.
 ROUNDS = 3
 SCALES = (1, 2, 4)
@@ -164,16 +166,20 @@ def agreeing(m: np.ndarray) -> int:
     pa_, xa, ya, sa, ta, _, xb, yb, sb, tb = m.T
     turn, ratio = tb - ta, sb / sa
     c, s = ratio * np.cos(turn), ratio * np.sin(turn)
-    # Each match proposes a turn, scale and shift, and is tried on all.
-    dx, dy = xa[None] - xa[:, None], ya[None] - ya[:, None]
-    gone_x = xb[:, None] + c[:, None] * dx - s[:, None] * dy - xb[None]
-    gone_y = yb[:, None] + s[:, None] * dx + c[:, None] * dy - yb[None]
-    twist = np.abs((turn[None] - turn[:, None] + np.pi) % (2 * np.pi) - np.pi)
-    fits = (np.hypot(gone_x, gone_y) <= OFF * sb[None] + 0.08 * np.hypot(dx, dy) * ratio[:, None]) & (twist <= TURN) & (ratio[None] == ratio[:, None])
-    best = 0
-    for row in fits[np.argsort(-fits.sum(1))[:8]]:
-        best = max(best, len(np.unique(pa_[row])))
-    return best
+
+    def fits(i: np.ndarray) -> np.ndarray:
+        """Each match of ``i`` proposes a turn, scale and shift, and is tried on all."""
+        dx, dy = xa[None] - xa[i, None], ya[None] - ya[i, None]
+        gone_x = xb[i, None] + c[i, None] * dx - s[i, None] * dy - xb[None]
+        gone_y = yb[i, None] + s[i, None] * dx + c[i, None] * dy - yb[None]
+        twist = np.abs((turn[None] - turn[i, None] + np.pi) % (2 * np.pi) - np.pi)
+        return (np.hypot(gone_x, gone_y) <= OFF * sb[None] + 0.08 * np.hypot(dx, dy) * ratio[i, None]) & (twist <= TURN) & (ratio[None] == ratio[i, None])
+
+    # So many proposals at a time that memory doesn't follow the square of the matches.
+    step = max(1, PROPOSALS // len(m))
+    many = np.concatenate([fits(np.arange(i, min(i + step, len(m)))).sum(1) for i in range(0, len(m), step)])
+    best = np.argsort(-many, kind="stable")[:8]
+    return max(len(np.unique(pa_[row])) for row in fits(best))
 
 
 def _agreeing(lists: pd.Series) -> pd.Series:

@@ -149,6 +149,20 @@ def test_mixed_entries(spark):
     assert got == {i: i // 15 * 15 for i in range(90)}
 
 
+def test_agreement_in_blocks(monkeypatch):
+    """A turned, shifted and scaled set of points agrees, whatever is tried at once; scattered ones don't."""
+    r = np.random.default_rng(2)
+    x, y, t = r.uniform(0, 200, 60), r.uniform(0, 200, 60), r.uniform(-3, 3, 60)
+    c, s = 2 * np.cos(0.7), 2 * np.sin(0.7)
+    good = np.stack([np.arange(60), x, y, np.ones(60), t, np.arange(60), 5 + c * x - s * y, 9 + s * x + c * y, np.full(60, 2.0), t + 0.7], 1)
+    bad = good.copy()
+    bad[:, 6:8] = r.uniform(0, 400, (60, 2))
+    mixed = np.concatenate([good[:20], bad[20:]])
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(image_copies, "PROPOSALS", size)
+        assert agreeing(good) == 60 and 20 <= agreeing(mixed) <= 22 and agreeing(bad) <= 6 and agreeing(good[:1]) == 1
+
+
 def test_equal_images(spark):
     """Equal images are compared once; without enough keypoints they stay alone."""
     a = textured(1)
