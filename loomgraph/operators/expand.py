@@ -8,9 +8,14 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 if TYPE_CHECKING:
     from ..graph import PropertyGraph
 
+#: Rows that ``copies`` makes of one row at a time, and in a task.
+COPY_BLOCK, TASK_COPIES = 1 << 16, 1 << 23
+
 
 def labelled(edges: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Edges of these labels, all if none is named; the filter reaches the edges' scan."""
@@ -34,3 +39,13 @@ def degree(graph: PropertyGraph, labels: Sequence[str] = (), direction: str = "o
 
 def zero(n: Column) -> Column:
     return F.coalesce(n, F.lit(0).cast("long"))
+
+
+def copies(counts: DataFrame) -> DataFrame:
+    """``cur`` of each row of ``counts`` (``cur, n``) ``n`` times, dealt so that no task makes many more than ``TASK_COPIES``."""
+    counts = written(counts, "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    blocks = counts.where("n > 0").select("cur", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPY_BLOCK).cast("long"))).alias("low"))
+    if total > TASK_COPIES:
+        blocks = blocks.repartition(-(-total // TASK_COPIES), "cur", "low")
+    return blocks.select(F.explode(F.array_repeat("cur", F.least(F.col("n") - F.col("low"), F.lit(COPY_BLOCK)).cast("int"))).alias("cur"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import constant, score
-from ..operators.expand import half_edges, zero
+from ..operators.expand import copies, half_edges, zero
 from ..storage import Rounds, written
 from . import steps as S
 
@@ -189,6 +189,22 @@ class Compiler:
             raise ValueError("simplePath() has no place in a child of filter(), by() or property()")
         return replace(frame, df=frame.df.where(F.size(F.array_distinct("path")) == F.size("path")))
 
+    def simplehop(self, step: S.SimpleHop, frame: Frame) -> Frame:
+        """By counts: a simple path that gets one vertex longer is simple unless it has been there, which is a join on both ends of the edge.
+
+        Pairs of paths and neighbours are not formed, and the key that many paths share is one row of counts; each result is then repeated.
+        """
+        self.need(frame, VERTEX, step)
+        frame = frame.bare()
+        if frame.kept() != ["path"]:
+            return self.simplepath(S.SimplePath(), self.moved(self.expand(step.hop, frame)))
+        frame = self.cut(self.simplepath(S.SimplePath(), frame))
+        far = half_edges(self.graph, step.hop.labels, step.hop.direction)
+        paths = frame.df.groupBy("cur").agg(F.count(F.lit(1)).alias("n"))
+        there = paths.join(far, F.col("cur") == F.col("at")).select(F.col("to").alias("cur"), "n")
+        again = frame.df.select("cur", F.explode("path").alias("been")).join(far, (F.col("cur") == F.col("at")) & (F.col("been") == F.col("to"))).select(F.col("to").alias("cur"), F.lit(-1).cast("long").alias("n"))
+        return Frame(copies(there.unionAll(again).groupBy("cur").agg(F.sum("n").alias("n"))), VERTEX)
+
     def dedup(self, step: S.Dedup, frame: Frame) -> Frame:
         frame = frame.bare()
         by = ["root", "cur"] if frame.root else ["cur"]

@@ -168,6 +168,13 @@ class SimplePath(Step):
     """Only traversers that have been nowhere twice."""
 
 
+@dataclass(frozen=True)
+class SimpleHop(Step):
+    """An expansion to vertices and the simplePath() after it, when nothing later asks for the path."""
+
+    hop: Expand
+
+
 @dataclass(frozen=True)
 class Dedup(Step):
     pass
@@ -308,7 +315,7 @@ def inner(step: Step) -> list[Chain]:
 
 def tracks(chain: Chain) -> bool:
     """Whether a step of the chain or of its children asks where traversers have been."""
-    return any(isinstance(s, SimplePath) or any(map(tracks, inner(s))) for s in chain)
+    return any(isinstance(s, (SimplePath, SimpleHop)) or any(map(tracks, inner(s))) for s in chain)
 
 
 def selected(chain: Chain) -> set[str]:

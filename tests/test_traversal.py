@@ -256,3 +256,29 @@ def test_shared_branches(coo6):
     together = start().union([__().identity(), hop(), hop().in_(), hop().in_().out(), hop()]).toList()
     apart = [start().toList(), start().out().order().by("p").limit(3).toList(), start().out().order().by("p").limit(3).in_().toList(), start().out().order().by("p").limit(3).in_().out().toList(), start().out().order().by("p").limit(3).toList()]
     assert sorted(together) == sorted(x for own in apart for x in own)
+
+
+def test_simple_paths_by_counts(coo6, monkeypatch):
+    """The last hop of simple paths is no join of paths with neighbours, in any direction, over loops and parallel edges, whatever comes after."""
+    from loomgraph.operators import expand
+
+    monkeypatch.setattr(expand, "COPY_BLOCK", 2)
+    monkeypatch.setattr(expand, "TASK_COPIES", 5)
+    graph = PropertyGraph(coo6.spark, coo6.vertices, coo6.edges)
+    graph.add_edges([0, 0, 3, 3, 4, 2], [1, 1, 3, 3, 0, 0], "extra")
+    g, plain = graph.traversal(), graph.traversal().withoutStrategy("simple_hop")
+    chains = [
+        lambda g: g.V().out().in_().simplePath(),
+        lambda g: g.V().both().simplePath(),
+        lambda g: g.V().both().both().both().simplePath(),
+        lambda g: g.V().out().simplePath().both().both().simplePath().in_(),
+        lambda g: g.V([1, 1, 4]).repeat(__().both("extra").simplePath()).times(2),
+        lambda g: g.V().bothE().bothV().out().simplePath(),
+        lambda g: g.V().as_("a").out().both().simplePath().select("a"),
+        lambda g: g.V().order().limit(3).both().both().simplePath().id(),
+        lambda g: g.V().out("none").in_().simplePath(),
+    ]
+    for chain in chains:
+        assert "SimpleHop" in chain(g).explain() and "SimpleHop" not in chain(plain).explain()
+        assert sorted(chain(g).toList()) == sorted(chain(plain).toList())
+    assert g.V().out().in_().simplePath().toDF().rdd.getNumPartitions() > 1
