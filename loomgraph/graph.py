@@ -27,6 +27,8 @@ VERTEX_SCHEMA, EDGE_SCHEMA = "id long, label string", "id long, src long, dst lo
 #: Leaves of a plan above which a changed frame is written and read again: a value that a child computes reads the graph several times, so
 #: plans would grow by a factor with each change.
 CUT_LEAVES = 40
+#: Ids with new values, given as a sequence, that are broadcast at most.
+BROADCAST_IDS = 100_000
 
 #: Array type names that callers may use instead of Spark's (fixed values).
 ARRAY_TYPES = {"int8": "tinyint", "uint8": "smallint", "int16": "smallint", "uint16": "int", "int32": "int", "uint32": "bigint", "int64": "bigint", "uint64": "decimal(20,0)", "float32": "float", "float64": "double"}
@@ -85,7 +87,8 @@ class PropertyGraph:
         """Ids with their place: a DataFrame's one column as it comes (no order is promised), a sequence in its order."""
         if isinstance(ids, DataFrame):
             return ids.toDF("id").select("id", F.monotonically_increasing_id().alias("place"))
-        return self.spark.createDataFrame([(int(i), k) for k, i in enumerate(ids)], "id long, place long")
+        # From Arrow it is a relation in the plan whose size Catalyst knows, so a short one is broadcast and the other side isn't dealt.
+        return self.spark.createDataFrame(pa.table({"id": np.array([int(i) for i in ids], np.int64), "place": np.arange(len(ids))}))
 
     def _property(self, what: str, name: str, ids: DataFrame | Sequence[int]) -> DataFrame:
         own = self._checked(what, name).where(F.col(name).isNotNull()).select("id", F.col(name).alias("value"))
@@ -218,6 +221,8 @@ class PropertyGraph:
             sample = next((v for v in last.values() if v is not None), None)
             kind = dtype or {bool: "boolean", int: "long", float: "double", str: "string"}.get(type(sample)) or self.spark.createDataFrame([(sample,)], ["x"]).schema["x"].dataType.simpleString()
             new = self.spark.createDataFrame(list(last.items()), f"of long, new {kind}")
+            if len(last) <= BROADCAST_IDS:
+                new = F.broadcast(new)
         if dtype:
             new = new.withColumn("new", F.col("new").cast(dtype))
         new = new.withColumn("hit", F.lit(True))

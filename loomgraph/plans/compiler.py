@@ -12,6 +12,8 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -137,7 +139,7 @@ class Compiler:
             if len(set(step.ids)) == len(step.ids) <= 1000:
                 df = df.where(F.col("cur").isin(*step.ids))
             else:
-                ids = self.graph.spark.createDataFrame([(i,) for i in step.ids], "want long")
+                ids = self.graph.spark.createDataFrame(pa.table({"want": np.array(step.ids, np.int64)}))
                 df = df.join(ids, F.col("cur") == F.col("want")).drop("want")
         if step.table is not None:
             df = df.join(step.table.select(F.col("want").cast("long").alias("want")), F.col("cur") == F.col("want")).drop("want")

@@ -196,3 +196,20 @@ def test_written_tables_can_be_cleared(spark):
     clear(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_few_ids_are_broadcast(spark):
+    """A sequence of ids finds its elements where these are read: a table of elements is not dealt for it."""
+    many = spark.range(5_000_000).select("id", F.lit("x").alias("label"), (F.col("id") % 7).alias("p"))
+    graph = PropertyGraph(spark, many, many.select("id", F.col("id").alias("src"), F.col("id").alias("dst"), "label", "p"))
+    ids = [3, 1, 3, 9_000_000]
+    own = {"labels": graph.vertex_labels(ids), "edges": graph.edge_labels(ids), "values": graph.get_edge_properties("p", ids), "scan": graph.traversal().V(ids).toDF()}
+    for df in own.values():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(map(tuple, own["labels"].collect())) == sorted(map(tuple, own["edges"].collect())) == [(0, 3, "x"), (1, 1, "x"), (2, 3, "x")]
+    assert sorted(map(tuple, own["values"].collect())) == [(0, 3, 3), (1, 1, 1), (2, 3, 3)] and sorted(r.cur for r in own["scan"].collect()) == [1, 3, 3]
+    assert graph.vertex_labels([]).collect() == []
+    graph.set_vertex_properties("p", [1, 5_000_001], [40, 41])
+    assert "SortMergeJoin" not in graph.vertices._jdf.queryExecution().executedPlan().toString()
+    assert graph.vertices.where("p > 6").select("id", "p").collect() == [(1, 40)]
