@@ -42,6 +42,8 @@ class Frame:
     cheap: bool = False
     #: How many rows there are at most, where a limit says so.
     most: int | None = None
+    #: Comes from at most ``LOCAL`` traversers, so it is likely small, which only its table shows.
+    few: bool = False
     #: With ``path``: where the traverser has been, edges as the complement of their id.
     path: bool = False
 
@@ -90,8 +92,11 @@ class Compiler:
         """What is known of the frame's size and cost after a step."""
         keeps = isinstance(step, (S.Has, S.HasNot, S.Where, S.Is, S.FilterChild, S.Dedup, S.Tag, S.Identity, S.Id, S.Order, S.SimplePath))
         limit = None if frame.root else step.n if isinstance(step, (S.Limit, S.Sample)) else step.k if isinstance(step, S.Like) else None
+        if isinstance(step, S.Scan):
+            limit = step.limit if step.limit is not None else len(step.ids) if step.ids is not None else None
         cheap = frame.cheap and isinstance(step, (S.Scan, S.Has, S.HasNot, S.Tag, S.Identity, S.Union))
-        return replace(frame, cheap=cheap, most=limit if limit is not None else frame.most if keeps else None)
+        few = frame.few or limit is not None and limit <= LOCAL
+        return replace(frame, cheap=cheap, few=few, most=limit if limit is not None else frame.most if keeps else None)
 
     def cut(self, frame: Frame) -> Frame:
         """The frame computed once: a table, or a relation in the plan itself where a limit keeps it to ``LOCAL`` rows."""
@@ -100,6 +105,17 @@ class Compiler:
             return replace(bare, df=self.graph.spark.createDataFrame(bare.df.toArrow()), cheap=True)
         return replace(bare, df=written(bare.df, "branches"), cheap=True)
 
+    def narrow(self, frame: Frame) -> Frame:
+        """The frame as a side of a join: broadcast where a limit bounds it, a table of known size where it comes from a bounded one.
+
+        Else a plan can't tell that it is small, and deals all edges or elements to meet it.
+        """
+        if frame.root or not frame.few:
+            return frame
+        if frame.most is not None and frame.most <= LOCAL:
+            return replace(frame, df=F.broadcast(frame.df))
+        return frame if frame.cheap else self.cut(frame)
+
     def moved(self, frame: Frame) -> Frame:
         """The path with the current element at its end."""
         here = F.array(F.col("cur") if frame.kind == VERTEX else F.bitwise_not("cur"))
@@ -118,7 +134,7 @@ class Compiler:
             raise ValueError("values have no properties")
         if frame.loaded:
             return frame
-        own = self.table(frame.kind)
+        frame, own = self.narrow(frame), self.table(frame.kind)
         own = own.select(*[F.col(c).alias(f"e_{c}") for c in own.columns])
         return replace(frame, df=frame.df.join(own, F.col("cur") == F.col("e_id")), loaded=True)
 
@@ -221,7 +237,7 @@ class Compiler:
 
     def expand(self, step: S.Expand, frame: Frame) -> Frame:
         self.need(frame, VERTEX, step)
-        frame = frame.bare()
+        frame = self.narrow(frame.bare())
         if step.to == "vertex":
             far = half_edges(self.graph, step.labels, step.direction)
             df = frame.df.join(far, F.col("cur") == F.col("at")).select(F.col("to").alias("cur"), *frame.kept())
@@ -435,7 +451,7 @@ class Compiler:
                 frame = frame.bare()
                 if out:
                     rounds = Rounds(self.graph.spark, "repeat")
-                frame = replace(frame, df=rounds.keep(frame.df))
+                frame = replace(frame, df=rounds.keep(frame.df), cheap=True)
             done += 1
         if step.times is not None or not out:
             out.append(frame)

@@ -282,3 +282,21 @@ def test_simple_paths_by_counts(coo6, monkeypatch):
         assert "SimpleHop" in chain(g).explain() and "SimpleHop" not in chain(plain).explain()
         assert sorted(chain(g).toList()) == sorted(chain(plain).toList())
     assert g.V().out().in_().simplePath().toDF().rdd.getNumPartitions() > 1
+
+
+def test_few_traversers_deal_no_edges(spark):
+    """What a limit bounds, and what comes of it, meets the edges where these are read."""
+    ids = spark.range(3_000_000).select("id", F.lit("x").alias("label"), F.col("id").alias("p"))
+    edges = ids.select((F.col("id") + 0).alias("id"), F.col("id").alias("src"), ((F.col("id") * 7 + 1) % 3_000_000).alias("dst"), "label")
+    g = PropertyGraph(spark, ids, edges).traversal()
+    chains = [
+        ([8, 57, 106], lambda: g.V().limit(3).out().out()),
+        ([57, 57, 106, 106], lambda: g.V([1, 2]).as_("a").union([__().out().as_("b")]).union([__().out(), __().select("b").out()])),
+        ([8, 15], lambda: g.V().limit(3).out().has("p", P.gt(7))),
+        ([57, 400], lambda: g.V().limit(2).repeat(__().out()).times(3).has("p", P.lt(500))),
+    ]
+    for want, chain in chains:
+        df = chain().toDF()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan, plan
+        assert sorted(r.cur for r in df.collect()) == want
