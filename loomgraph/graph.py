@@ -6,7 +6,7 @@ Ids are longs given out in order; a missing property is null.  Labels, ids and e
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import TYPE_CHECKING, Any
 
 import numpy as np
@@ -39,18 +39,37 @@ def spark_type(dtype: str | T.DataType) -> str | T.DataType:
 
 
 class PropertyGraph:
-    """``vertices``: id, label, properties.  ``edges``: id, src, dst, label, properties.  ``embeddings``: name to (id, vec)."""
+    """``vertices``: id, label, properties.  ``edges``: id, src, dst, label, properties.  ``embeddings``: name to (id, vec).
 
-    def __init__(self, spark: SparkSession, vertices: DataFrame | None = None, edges: DataFrame | None = None, embeddings: dict[str, DataFrame] | None = None):
+    Edges whose ids are dear may come as a function, called when ids or properties are first asked for; ``links``, their src, dst and label, serve till then.
+    """
+
+    def __init__(self, spark: SparkSession, vertices: DataFrame | None = None, edges: DataFrame | Callable[[], DataFrame] | None = None, embeddings: dict[str, DataFrame] | None = None, links: DataFrame | None = None):
         self.spark = spark
         self.vertices = vertices if vertices is not None else spark.createDataFrame([], VERTEX_SCHEMA)
-        self.edges = edges if edges is not None else spark.createDataFrame([], EDGE_SCHEMA)
+        self._edges = edges if edges is not None else spark.createDataFrame([], EDGE_SCHEMA)
+        self._links = links
         self.embeddings, self.indexes = dict(embeddings or {}), {}
-        for df, needed in ((self.vertices, VERTEX_COLUMNS), (self.edges, EDGE_COLUMNS)):
+        for df, needed in ((self.vertices, VERTEX_COLUMNS), *([(self._edges, EDGE_COLUMNS)] if isinstance(self._edges, DataFrame) else [])):
             if missing := set(needed) - set(df.columns):
                 raise ValueError(f"columns are missing: {sorted(missing)}")
         self._next: dict[str, int] = {}
 
+    @property
+    def edges(self) -> DataFrame:
+        if not isinstance(self._edges, DataFrame):
+            self._edges = self._edges()
+        return self._edges
+
+    @edges.setter
+    def edges(self, df: DataFrame) -> None:
+        self._edges, self._links = df, None
+
+    @property
+    def links(self) -> DataFrame:
+        """``src, dst, label`` of each edge."""
+        return self._links if self._links is not None else self.edges.select("src", "dst", "label")
+
     # -- reading
 
     def traversal(self) -> Source:

@@ -24,7 +24,7 @@ def labelled(edges: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 def half_edges(graph: PropertyGraph, labels: Sequence[str], direction: str, extra: Sequence[str] = ()) -> DataFrame:
     """``at, to`` and the columns of ``extra`` of each edge seen from its near end; "both" sees each edge twice, loops too."""
-    edges = labelled(graph.edges, labels)
+    edges = labelled(graph.edges if extra else graph.links, labels)
     seen = {"out": ("src", "dst"), "in": ("dst", "src")}
     parts = [edges.select(F.col(a).alias("at"), F.col(b).alias("to"), *[F.col(c).alias(f"e_{c}") for c in extra]) for a, b in (seen.values() if direction == "both" else [seen[direction]])]
     return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])

@@ -20,34 +20,37 @@ def to_smallest(both: DataFrame, low: DataFrame) -> DataFrame:
     return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
+def stars(now: DataFrame) -> bool:
+    """Whether every node ``a`` hangs on one other, ``b``, and on none that hangs itself; the rows are distinct."""
+    return now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and now.join(now.select(F.col("b").alias("r")).distinct(), F.col("a") == F.col("r"), "left_semi").isEmpty()
+
+
 def rooted(links: DataFrame) -> DataFrame:
     """``a, b`` for each node ``a`` of ``links`` (two long columns ``a, b``, undirected) that isn't its component's smallest: ``b`` is.
 
     Large-star and small-star steps (Kiveris et al., Connected Components in MapReduce and Beyond, 2014): the rounds grow with the logarithm of a
-    path's length.  Minima are combined map-side, so a node of any degree is one row a task there.  They are written before they are joined back:
-    both sides of the joins are then dealt as they are read, which lets AQE split the rows of a node of large degree.
+    path's length; links that are stars already, as those to an owner, need none.  Minima are combined map-side, so a node of any degree is one
+    row a task there.  They are written before they are joined back: both sides of the joins are then dealt as they are read, which lets AQE
+    split the rows of a node of large degree.
     """
     spark = links.sparkSession
     nows, lows, larges, leasts = (Rounds(spark, f"components-{x}") for x in ("links", "low", "large", "least"))
-    now = nows.keep(links.where("a <> b").distinct())
-    while True:
+    now = nows.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    while not stars(now):
         both = now.unionAll(now.select("b", "a"))
         low = lows.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
         large = larges.keep(to_smallest(both, low).distinct())
         least = leasts.keep(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a")
         now = nows.keep(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        # Stars: every node hangs on one other, and on none that hangs itself.
-        n, hanging = now.select(F.count(F.lit(1)), F.count_distinct("a")).first()
-        if n == hanging and now.join(now.select(F.col("b").alias("r")).distinct(), F.col("a") == F.col("r"), "left_semi").isEmpty():
-            for rounds in (lows, larges, leasts):
-                rounds.drop()
-            return now
+    for rounds in (lows, larges, leasts):
+        rounds.drop()
+    return now
 
 
 def components(graph: PropertyGraph, labels: Sequence[str] = ()) -> DataFrame:
     """``id, component``: the smallest id that undirected edges reach, for every vertex."""
-    roots = rooted(labelled(graph.edges, labels).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    roots = rooted(labelled(graph.links, labels).select(F.col("src").alias("a"), F.col("dst").alias("b")))
     return graph.vertices.select("id").join(roots, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("component"))
 
 

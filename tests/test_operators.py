@@ -213,3 +213,30 @@ def test_few_ids_are_broadcast(spark):
     graph.set_vertex_properties("p", [1, 5_000_001], [40, 41])
     assert "SortMergeJoin" not in graph.vertices._jdf.queryExecution().executedPlan().toString()
     assert graph.vertices.where("p > 6").select("id", "p").collect() == [(1, 40)]
+
+
+def test_stars_need_no_rounds(spark, monkeypatch):
+    from loomgraph.operators import fixpoint
+
+    graph = from_arrays(spark, 9, [0, 2, 1, 5, 0, 5], [2, 0, 8, 6, 0, 7], "e")
+    want = {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 5, 6: 5, 7: 5, 8: 1}
+    with monkeypatch.context() as m:
+        m.setattr(fixpoint, "to_smallest", lambda *_: pytest.fail("a round"))
+        assert {r.id: r.component for r in components(graph).collect()} == want
+    graph.add_edges([7, 8], [8, 4], "e")
+    assert {r.id: r.component for r in components(graph).collect()} == want | dict.fromkeys((4, 5, 6, 7, 8), 1)
+
+
+def test_hops_number_no_lines(spark, monkeypatch):
+    """The order lines of the star are numbered when an edge's id or property is asked for, not for hops, degrees and components."""
+    from loomgraph.sources import star as source
+
+    with monkeypatch.context() as m:
+        m.setattr(source, "numbered_lines", lambda *_: pytest.fail("lines are numbered"))
+        graph = source.star(spark, "/root/testdata/sf0.001")
+        hops = [sorted(graph.traversal().V().hasLabel("order").out("contains").toList()), graph.traversal().V().out("filled_by").count().next(), graph.degree(["contains"]).agg(F.sum("degree")).first()[0], components(graph, ["placed"]).count()]
+    own = PropertyGraph(spark, graph.vertices, graph.edges)
+    assert sorted(map(tuple, graph.links.collect())) == sorted(map(tuple, own.links.collect()))
+    assert hops == [sorted(own.traversal().V().hasLabel("order").out("contains").toList()), own.traversal().V().out("filled_by").count().next(), own.degree(["contains"]).agg(F.sum("degree")).first()[0], components(own, ["placed"]).count()]
+    graph.add_edges([1], [2], "contains")
+    assert graph.links.where("src = 1 AND dst = 2").count() == 1
