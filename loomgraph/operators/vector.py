@@ -24,8 +24,8 @@ SAMPLE, MOST_CELLS = 20_000, 1024
 PROBES = 8
 #: Centres of each part of a vector that codes number, and how many times ``k`` codes are asked for their vectors.
 CENTRES, MORE = 256, 10
-#: Queries that go through the vectors together.
-QUERY_BLOCK = 1024
+#: Queries that go through the vectors together, and how many of them meet how many vectors at a time: what a task holds of scores.
+QUERY_BLOCK, TILE = 1024, 256
 
 
 def scored(vectors: DataFrame, queries: Sequence[Sequence[float]], metric: str, vec: str = "vec") -> DataFrame:
@@ -59,14 +59,34 @@ def _scores(x: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
         return np.where(own * squares > 0, dots / np.sqrt(own * squares), np.nan)
 
 
+def _first(held: np.ndarray, best: np.ndarray, names: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query (row) the names and values of the ``k`` best so far, ties by name, once it has seen ``value`` of ``names`` too.
+
+    Only rows and columns with a value that reaches a row's last place are sorted.
+    """
+    full = best.shape[1] == k
+    reach = value >= best[:, -1:] if full else np.ones(value.shape, bool)
+    rows, columns = np.flatnonzero(reach.any(1)), np.flatnonzero(reach.any(0))
+    more = value[np.ix_(rows, columns)]
+    near, most = np.hstack([held[rows], np.broadcast_to(names[columns], more.shape)]), np.hstack([best[rows], more])
+    order = np.lexsort((near, -most), axis=1)[:, :k]
+    near, most = np.take_along_axis(near, order, 1), np.take_along_axis(most, order, 1)
+    if not full:
+        return near, most
+    held[rows], best[rows] = near, most
+    return held, best
+
+
 def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", index: CellIndex | None = None, probes: int = PROBES) -> DataFrame:
     """``query, id, score, rank``: the ``k`` best of ``vectors`` (``id, vec``) for each of ``queries`` (``id, vec``); ties by id.
 
-    Queries go through all vectors in blocks of ``QUERY_BLOCK``, so what the driver and the executors hold is bounded.  A task keeps the best ``k`` of
-    each query, and only these are dealt.  With ``index`` each query sees the vectors of its ``probes`` nearest cells.  Null vectors have no part.
+    Queries go through all vectors in blocks of ``QUERY_BLOCK``, so what the driver and the executors hold is bounded.  A task scores ``TILE`` queries
+    with ``TILE`` vectors at a time and keeps the best ``k`` of each query, and only these are dealt.  With ``index`` each query sees the vectors of its ``probes`` nearest cells.  Null vectors have no part.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
+    if not k:
+        return vectors.sparkSession.createDataFrame([], "query long, id long, score double, rank int")
     rows = (index.table if index is not None else vectors).where("vec IS NOT NULL")
     columns = ["id", "vec", "cell"] if index is not None else ["id", "vec"]
 
@@ -74,17 +94,21 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "
         probed = index.probed(own, probes) if index is not None and len(index.centres) else None
 
         def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sizes = [len(ids[i : i + TILE]) for i in range(0, len(ids), TILE)]
+            kept = [(np.empty((n, 0), np.int64), np.empty((n, 0))) for n in sizes]
             for frame in frames:
-                if not len(frame):
-                    continue
-                x = np.array(frame["vec"].tolist(), float)
-                value = _scores(x, own, metric)
-                if probed is not None:
-                    value = np.where(probed[:, frame["cell"].to_numpy()], value, np.nan)
-                most = min(k, len(x))
-                order = np.lexsort((np.broadcast_to(frame["id"].to_numpy(), value.shape), -np.nan_to_num(value, nan=-np.inf)), axis=1)[:, :most]
-                out = pd.DataFrame({"query": np.repeat(ids, most), "id": frame["id"].to_numpy()[order].ravel(), "score": np.take_along_axis(value, order, 1).ravel()})
-                yield out[out["score"].notna()]
+                for at in range(0, len(frame), TILE):
+                    part = frame.iloc[at : at + TILE]
+                    x, names = np.array(part["vec"].tolist(), float), part["id"].to_numpy()
+                    for j, held in enumerate(kept):
+                        some = slice(j * TILE, (j + 1) * TILE)
+                        value = _scores(x, own[some], metric)
+                        if probed is not None:
+                            value = np.where(probed[some][:, part["cell"].to_numpy()], value, np.nan)
+                        kept[j] = _first(*held, names, np.nan_to_num(value, nan=-np.inf), k)
+            for j, (near, value) in enumerate(kept):
+                out = pd.DataFrame({"query": np.repeat(ids[j * TILE : (j + 1) * TILE], near.shape[1]), "id": near.ravel(), "score": value.ravel()})
+                yield out[out["score"] > -np.inf]
 
         return rows.select(*columns).mapInPandas(best, "query long, id long, score double")
 
@@ -101,7 +125,7 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "
         if len(held) == QUERY_BLOCK:
             flush()
     flush()
-    if found is None or not k:
+    if found is None:
         return vectors.sparkSession.createDataFrame([], "query long, id long, score double, rank int")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -151,7 +175,7 @@ class CellIndex:
 
     def probed(self, queries: np.ndarray, probes: int) -> np.ndarray:
         """For each query, which cells are its nearest."""
-        gone = ((queries[:, None] - self.centres[None]) ** 2).sum(2)
+        gone = np.stack([((q - self.centres) ** 2).sum(1) for q in queries]) if len(queries) else np.zeros((0, len(self.centres)))
         out = np.zeros(gone.shape, bool)
         np.put_along_axis(out, np.argsort(gone, axis=1, kind="stable")[:, :probes], True, 1)
         return out
@@ -189,7 +213,7 @@ class CellIndex:
 
 def _nearest_cell(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     out = np.empty(len(x), np.int32)
-    for i in range(0, len(x), 4096):
-        part = x[i : i + 4096]
-        out[i : i + 4096] = (-2 * part @ centres.T + (centres**2).sum(1)).argmin(1)
+    for i in range(0, len(x), 1024):
+        part = x[i : i + 1024]
+        out[i : i + 1024] = (-2 * part @ centres.T + (centres**2).sum(1)).argmin(1)
     return out

@@ -46,6 +46,35 @@ def test_each_query(spark, metric, monkeypatch):
     assert nearest_each(vectors.where("false"), vectors.limit(2), 3).collect() == [] == nearest_each(vectors, vectors.where("false"), 3).collect() == nearest_each(vectors, vectors.limit(2), 0).collect()
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_scores_are_held_in_tiles(spark, metric, monkeypatch):
+    """A task holds scores of a few queries and vectors at a time, whatever a batch has, and gives ``k`` of each query whatever a task has."""
+    from loomgraph.operators import vector
+
+    x = clustered(600)
+    x[300:400] = x[7]  # ties, more than k of them
+    vectors = frame(spark, x).coalesce(1)
+    queries, seen, scores = vectors.where("id % 20 = 7"), spark.sparkContext.accumulator(0), vector._scores
+
+    def watched(own, q, metric):
+        if own.shape[0] > 8 or q.shape[0] > 8:
+            seen.add(1)
+        return scores(own, q, metric)
+
+    monkeypatch.setattr(vector, "TILE", 8, raising=False)
+    monkeypatch.setattr(vector, "_scores", watched)
+    got = {}
+    rows = nearest_each(vectors, queries, 12, metric)
+    for r in sorted(rows.collect(), key=lambda r: (r.query, r.rank)):
+        got.setdefault(r.query, []).append((r.id, r.score))
+    assert not seen.value
+    x = np.asarray(x, np.float32).astype(float)
+    for q in range(7, 600, 20):
+        score = -np.linalg.norm(x - x[q], axis=1) if metric == "l2" else x @ x[q] / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[q]))
+        want = np.sort(score)[::-1][:12]
+        assert len(got[q]) == 12 and np.allclose([s for _, s in got[q]], want, atol=1e-6) and np.allclose(score[[i for i, _ in got[q]]], want, atol=1e-6)
+
+
 def test_recall_of_cells_and_codes(spark):
     """Nine in ten of the true neighbours, over all ids that divide by 100."""
     x = clustered(3000, 1)
